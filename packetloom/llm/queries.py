@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_quantization, exact_dedup, html_text, langid, mixing, pii, token_count
+from . import additive_quantization, exact_dedup, html_text, langid, mixing, ngram_join, pii, sp_sample, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,18 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_sample.encode(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_additive_quantization, op2_pii, op4_token_counts, op5_langid, op6_html_text, op8_source_mix, op9_exact_dedup)}
+    return {f.__name__: f for f in (op1_additive_quantization, op2_pii, op3_ngram_join, op4_token_counts, op5_langid, op6_html_text, op7_sentencepiece, op8_source_mix, op9_exact_dedup)}
 
 
 OP9 = r"""
