@@ -61,6 +61,64 @@ def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, r
     return ranked.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least(share_of, F.col("cap"))).alias("target"))
 
 
+class Plan:
+    """What is taken of each source: `whole` times everything, and once more below the hash `low` (and one document that closes the gap)."""
+
+    def __init__(self, sized: DataFrame, weights: tuple, share: float, repeats: int):
+        """sized: source, size, hash."""
+        self.sized = sized
+        aim = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
+        whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
+        aim = aim.withColumn("whole", whole).withColumn("gap", F.col("target") - F.col("whole") * F.col("source_size"))
+        # low: the prefix of the hash below which all is taken; gap: the words that are left after that
+        self.state = materialize(aim.select("source", "source_size", "target", "whole", "gap", F.lit(0).cast("long").alias("low")), "mix-state")
+        self.small = F.broadcast if self.state.count() <= BROADCAST_ROWS else (lambda df: df)
+        for level in range(1, LEVELS + 1):
+            self.refine(LEVEL_BITS * (LEVELS - level))
+        self.close_gaps()
+
+    def join(self, df: DataFrame, source: Column, names: list[str]) -> DataFrame:
+        """df with columns of its source's state, as mix_<name>; null sources meet as well."""
+        state = self.state.select(F.col("source").alias("mix_source"), *[F.col(n).alias(f"mix_{n}") for n in names])
+        return df.join(self.small(state), source.eqNullSafe(F.col("mix_source")))
+
+    def refine(self, left: int) -> None:
+        """Split each source's boundary range into buckets of `left` more bits and find the one in which the budget ends."""
+        inside = self.join(self.sized, F.col("source"), ["low"]).where(F.shiftright("hash", left + LEVEL_BITS) == F.col("mix_low"))
+        sums = inside.groupBy("source", F.shiftright("hash", left).alias("bucket")).agg(F.sum("size").alias("words"))
+        upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.select(F.col("source").alias("s"), "bucket", F.sum("words").over(upto).alias("upto"))
+        keys = ["source", "source_size", "target", "whole", "gap", "low"]
+        fit = self.state.join(sums, self.state["source"].eqNullSafe(F.col("s")), "left").groupBy(*keys).agg(
+            F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("fits"),
+            F.min(F.when(F.col("upto") > F.col("gap"), F.col("bucket"))).alias("edge"),
+        )
+        # without a bucket that doesn't fit, the threshold is the end of the range
+        end = F.shiftleft(F.col("low") + 1, LEVEL_BITS)
+        self.state = materialize(fit.select(*keys[:4], (F.col("gap") - F.coalesce("fits", F.lit(0))).alias("gap"), F.coalesce("edge", end).alias("low")), "mix-state")
+
+    def close_gaps(self) -> None:
+        rest = self.join(self.sized, F.col("source"), ["low", "gap"]).where("hash >= mix_low and size > 0")
+        nearest = F.min(F.struct(F.abs(F.col("size") - F.col("mix_gap")).alias("miss"), F.col("hash"), F.col("size"), F.col("mix_gap").alias("gap")))
+        closer = rest.groupBy("source").agg(nearest.alias("x")).where("x.miss < x.gap")
+        closer = closer.select(F.col("source").alias("s"), F.col("x.hash").alias("closer"), F.col("x.size").alias("closer_size"))
+        self.state = materialize(self.state.join(closer, self.state["source"].eqNullSafe(F.col("s")), "left").drop("s"), "mix-state")
+
+    def times(self, df: DataFrame, source: Column, size: Column, key_hash: Column) -> DataFrame:
+        """df with mix_source_size, mix_target and mix_times, how often each row is taken."""
+        joined = self.join(df, source, ["source_size", "target", "whole", "low", "closer", "closer_size"])
+        again = (key_hash < F.col("mix_low")) | ((key_hash == F.col("mix_closer")) & (size == F.col("mix_closer_size")))
+        return joined.withColumn("mix_times", F.when(size > 0, F.col("mix_whole") + F.coalesce(again, F.lit(False)).cast("long")).otherwise(0))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    sized = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+        word_count(F.col(text_col).cast("string")).alias("size"), row_hash(F.col(id_col)).alias("hash"),
+    )
+    return materialize(sized, "mix-sized")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken.
 
@@ -69,57 +127,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null text has size 0; a null source is a source of its own, last in order; null ids hash like the empty text; rows
     with one id hash alike and are taken together. Other columns aren't read. An empty table gives no rows.
     """
-    sized = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col).cast("string")).alias("size"), row_hash(F.col(id_col)).alias("hash"),
-    )
-    sized = materialize(sized, "mix-sized")
-    aim = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
-    per = F.col("target") / F.greatest(F.col("source_size"), F.lit(1))
-    aim = aim.withColumn("whole", F.floor(per).cast("long"))
-    aim = aim.withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    # state of each source: the prefix of the hash below which all is taken, and the words that are left after that
-    state = materialize(aim.select("source", "source_size", "target", "whole", F.col("budget").alias("gap"), F.lit(0).cast("long").alias("low")), "mix-state")
-    few = state.count() <= BROADCAST_ROWS
-    small = F.broadcast if few else (lambda df: df)
-
-    def with_state(names: list[str]) -> DataFrame:
-        """sized with columns of its source's state; null sources meet as well."""
-        s = state.select(F.col("source").alias("s"), *names)
-        return sized.join(small(s), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-
-    for level in range(1, LEVELS + 1):
-        left = LEVEL_BITS * (LEVELS - level)
-        bucket = F.shiftright("hash", left)
-        inside = with_state(["low"]).where(F.shiftright("hash", left + LEVEL_BITS) == F.col("low"))
-        sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words"))
-        upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        sums = sums.withColumn("upto", F.sum("words").over(upto)).select(F.col("source").alias("s"), "bucket", "upto")
-        # the buckets that fit whole: the first that doesn't is the boundary
-        fit = state.join(sums, state["source"].eqNullSafe(F.col("s")), "left").groupBy("source", "source_size", "target", "whole", "gap", "low").agg(
-            F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("fits"),
-            F.min(F.when(F.col("upto") > F.col("gap"), F.col("bucket"))).alias("edge"),
-        )
-        # without a boundary all of it fits: the threshold is the end of this range
-        end = F.shiftleft(F.col("low") + 1, LEVEL_BITS)
-        state = materialize(fit.select("source", "source_size", "target", "whole", (F.col("gap") - F.coalesce("fits", F.lit(0))).alias("gap"), F.coalesce("edge", end).alias("low")), "mix-state")
-    rest = with_state(["low", "gap"]).where("hash >= low and size > 0")
-    closer = rest.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("miss"), F.col("hash"), F.col("size"), F.col("gap"))).alias("x"))
-    closer = closer.where("x.miss < x.gap").select(F.col("source").alias("s"), F.col("x.hash").alias("closer"), F.col("x.size").alias("closer_size"))
-    state = materialize(state.join(closer, state["source"].eqNullSafe(F.col("s")), "left").drop("s"), "mix-state")
-    taken_again = (F.col("hash") < F.col("low")) | ((F.col("hash") == F.col("closer")) & (F.col("size") == F.col("closer_size")))
-    return with_state(["source_size", "target", "whole", "low", "closer", "closer_size"]).select(
-        "doc_id", "size", "source_size", "target",
-        (F.col("size") * (F.col("whole") + F.coalesce(taken_again, F.lit(False)).cast("long"))).alias("taken"),
-    )
+    sized = _sized(docs, id_col, text_col, source_col)
+    taken = Plan(sized, weights, share, repeats).times(sized, F.col("source"), F.col("size"), F.col("hash"))
+    return taken.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_times")).alias("taken"))
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs in the mix: each as often as it is taken, with the columns of docs. doc_id must be a key or its repeated rows alike."""
-    taken = mix(docs, **options).where("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("times")).dropDuplicates(["doc_id"])
-    taken = taken.withColumnRenamed("doc_id", "mix_id")
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("mix_id")))
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times"))).alias("mix_copy")).drop("mix_copy")
+def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
+    """The rows of docs in the mix, each as often as it is taken, with the columns of docs. Texts aren't shuffled."""
+    plan = Plan(_sized(docs, id_col, text_col, source_col), weights, share, repeats)
+    taken = plan.times(docs, docs[source_col].cast("string"), word_count(docs[text_col].cast("string")), row_hash(docs[id_col])).where("mix_times > 0")
+    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times"))).alias("mix_copy")).select(*[docs[c] for c in docs.columns])
 
 
 #: DuckDB SQL for op8: the same threshold by a sorted running sum.
