@@ -55,7 +55,7 @@ def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, r
     )
     ranked = ranked.withColumn("full", F.col("cap") / F.col("weight") <= (F.col("budget") - F.col("caps_before")) / F.col("weights_from"))
     # Fullness is a prefix of this order: the sums that hold for the rest are those of its first member.
-    ranked = ranked.withColumn("left_over", F.min(F.when(~F.col("full"), F.col("budget") - F.col("caps_before"))).over(everything))
+    ranked = ranked.withColumn("left_over", F.max(F.when(~F.col("full"), F.col("budget") - F.col("caps_before"))).over(everything))
     ranked = ranked.withColumn("left_weights", F.max(F.when(~F.col("full"), F.col("weights_from"))).over(everything))
     share_of = F.col("left_over") * F.col("weight") / F.col("left_weights")
     return ranked.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.least(share_of, F.col("cap"))).alias("target"))
@@ -156,7 +156,7 @@ summed AS (
   FROM ranked WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
 marked AS (SELECT *, cap / weight <= (budget - caps_before) / weights_from AS is_full FROM summed),
 shared AS (
-  SELECT *, min(CASE WHEN NOT is_full THEN budget - caps_before END) OVER () AS left_over,
+  SELECT *, max(CASE WHEN NOT is_full THEN budget - caps_before END) OVER () AS left_over,
          max(CASE WHEN NOT is_full THEN weights_from END) OVER () AS left_weights FROM marked),
 aim AS (
   SELECT source, source_size, CASE WHEN is_full THEN cap ELSE least(left_over * weight / left_weights, cap) END AS target FROM shared),
