@@ -171,55 +171,51 @@ def cut(page: str) -> list[Block]:
 
 
 def first_pass(blocks: list[Block], stop_words: frozenset = STOP_WORDS) -> None:
-    """good, bad, or an open label (short, near) for the second pass."""
+    """good or bad by what a block says, out by where it stands, or an open label (short, near) for the second pass."""
     inside = any(b.article and not b.out for b in blocks)
     for b in blocks:
         n = len(b.text)
         words = WORD.findall(b.text.lower())
         density = sum(w in stop_words for w in words) / len(words) if words else 0.0
-        if b.out or (inside and not b.article) or b.text[0] in "©" and n < LONG:
+        if b.out or (inside and not b.article):
+            b.label = "out"
+        elif b.links > LINK_DENSITY * n or (b.text[0] == "©" and n < LONG):
             b.label = "bad"
-        elif b.links > LINK_DENSITY * n:
-            b.label = "bad"
-        elif b.article and b.heading:
-            b.label = "near"
+        elif b.heading:
+            b.label = "near" if b.article else "short"
         elif n < SHORT:
             b.label = "short"
         elif density >= STOP_HIGH:
             b.label = "good" if n > LONG else "near"
-        elif density >= STOP_LOW and not b.links:
+        elif (density >= STOP_LOW or b.article) and not b.links:
             b.label = "near"
         else:
-            b.label = "near" if b.article and not b.links else "short" if density >= STOP_LOW else "bad"
+            b.label = "short" if density >= STOP_LOW else "bad"
 
 
 def second_pass(blocks: list[Block]) -> None:
-    """Open blocks take the label of the nearest decided one; at equal distance, or with none, near ones are good and short ones bad.
+    """Open blocks take the label of the nearest decided one.
 
-    A block of the article proper can only inherit from decided blocks of the article.
+    At equal distance from two that differ, or with none decided, near ones and those of the article proper are good,
+    the others bad. Blocks that are out decide nothing.
     """
-    before, at = [], None
-    for i, b in enumerate(blocks):
-        at = i if b.label in ("good", "bad") and not (b.label == "bad" and not b.article) else at
-        before.append(at)
-    after, at = [None] * len(blocks), None
-    for i in range(len(blocks) - 1, -1, -1):
-        at = i if blocks[i].label in ("good", "bad") and not (blocks[i].label == "bad" and not blocks[i].article) else at
-        after[i] = at
-    outside = [b.label for b in blocks]
+    decided = [i for i, b in enumerate(blocks) if b.label in ("good", "bad")]
+    labels = [b.label for b in blocks]
+    after = 0
     for i, b in enumerate(blocks):
-        if outside[i] in ("good", "bad"):
+        while after < len(decided) and decided[after] <= i:
+            after += 1
+        if labels[i] not in ("short", "near"):
             continue
-        left, right = before[i], after[i]
-        fallback = "good" if outside[i] == "near" or b.article else "bad"
-        if left is None and right is None:
-            b.label = fallback
-        elif left is None or right is None:
-            b.label = outside[left if right is None else right]
-        elif i - left == right - i and outside[left] != outside[right]:
-            b.label = fallback
+        fallback = "good" if labels[i] == "near" or b.article else "bad"
+        left = decided[after - 1] if after else None
+        right = decided[after] if after < len(decided) else None
+        if left is None or right is None:
+            b.label = fallback if left is right else labels[right if left is None else left]
+        elif i - left == right - i:
+            b.label = labels[left] if labels[left] == labels[right] else fallback
         else:
-            b.label = outside[left if i - left <= right - i else right]
+            b.label = labels[left if i - left < right - i else right]
 
 
 def main_text(page: str | None, stop_words: frozenset = STOP_WORDS) -> str:
