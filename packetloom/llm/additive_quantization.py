@@ -147,7 +147,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         if held:
             yield block(np.concatenate(ids), np.concatenate(xs))
 
-    index = materialize(rows.mapInArrow(pack, "ids binary, x binary, codes binary, norms binary"), "aq-index")
+    # as many partitions as there are full blocks: how the input was split doesn't make blocks smaller
+    index = materialize(rows.repartition(-(-n // ROW_BLOCK)).mapInArrow(pack, "ids binary, x binary, codes binary, norms binary"), "aq-index")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of the queries among the rows."""
