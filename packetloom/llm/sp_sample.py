@@ -202,8 +202,7 @@ class Lattice:
     def draw_other(self, rng: np.random.Generator, excluded: dict[tuple[int, ...], float]) -> tuple[tuple[int, ...], float]:
         """A path that isn't excluded, by its probability among those: walks down the paths until the drawn mass is reached."""
         left = rng.random() * (1 - sum(map(math.exp, excluded.values())))
-        path, log = self.best, self.best_log
-        walked = 0.0
+        found, walked = None, 0.0
         for path, log in self.paths():
             if path not in excluded:
                 found = path, log
@@ -211,7 +210,7 @@ class Lattice:
                 if left <= 0:
                     break
             walked += math.exp(log)
-            if walked >= 1 - 1e-12:
+            if found and walked >= 1 - 1e-12:
                 break
         return found
 
