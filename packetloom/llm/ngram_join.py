@@ -1,17 +1,19 @@
 """Exact n-gram Jaccard join by T-occurrence search (DivideSkip).
 
-A document is the set of its distinct five-word shingles, as 64-bit hashes; documents with one set are one class.
-
-Candidates. A global order puts frequent shingles last. Of a set of n, a partner at Jaccard 3/4 must share one of the
-first n - ceil(3n/4) + 1 shingles in that order: those are its short lists, the rest are long lists, which are never
-merged. Sorted runs of short-list postings are merged by shingle; members of a list whose sizes allow a link are chained
-(not paired), and the components of these chains are blocks that no link leaves.
-
-Verification. Within a block every set looks for the occurrence threshold T: its shortest inverted lists are merged and
-counted, the longest ones are only probed by binary search in the candidates that still can reach T, and what reaches
-the overlap that 3/4 of the union needs is linked. Sets that are already connected aren't compared again: only the
-components are asked for, and no link between components is missed. Blocks above BLOCK_SETS sets are worked on as pairs
-of parts, so no task ever holds more than two parts.
+A document is the set of its distinct five-word shingles, as 64-bit hashes; documents with one set are one class. Of a
+set of n, a partner at Jaccard 3/4 must hold at least T = ceil(3n/4) shingles, and so one of any n - T + 1 of them.
+
+1. Suspects. The first n - T + 1 shingles by hash are shuffled, one per shingle and task; sets none of whose are in
+   another set have no partner. Most documents end here.
+2. Counts. All shingles of the suspects are counted over the suspects. Sets of which fewer than T shingles are in another
+   set have no partner. The rest keep their shared shingles, each with its count (HOT and above are one class).
+3. Blocks. With rare shingles first, the short lists of a set are those of its first n - T + 1 shingles; the lists of the
+   others are never merged. Sorted runs of short-list postings are merged by shingle; members of a list whose sizes
+   allow a link are chained (not paired), and the components of these chains are blocks that no link leaves.
+4. Search. Within a block every set merges its shortest inverted lists and counts; its longest ones are only probed, by
+   binary search in the candidates that can still reach T; what reaches the overlap that 3/4 of the union needs is
+   linked. Sets that are already connected aren't compared again: only components are asked for, and no link between
+   components is missed. Blocks above BLOCK_SETS sets are worked on as pairs of parts: no task holds more than two.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from .common import connected_components, materialize
 WORDS = 5
 #: Similarity as a fraction: 75 / 100.
 NUM, DEN = 3, 4
-#: Frequent shingles that the order knows (8 bytes each, broadcast): the most frequent ones by counts within tasks.
-FREQUENT = 1 << 18
+#: Counts from here on are one class. A task that meets a shingle as often sends its count, not its postings.
+HOT = 64
 BLOCK_SETS = 4096
 BROADCAST_IDS = 1 << 20
 MEMO = 1_000_000
@@ -83,17 +84,6 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1 if n else 0
 
 
-def ordered(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Shingles with the frequent ones last (by rank), the others by hash."""
-    if not len(frequent):
-        return shingles
-    at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-    hit = frequent[at] == shingles
-    if not hit.any():
-        return shingles
-    return np.concatenate([shingles[~hit], shingles[hit][np.argsort(rank[at[hit]], kind="stable")]])
-
-
 class Links:
     """Union-find over the sets of a block."""
 
@@ -128,28 +118,30 @@ def overlap(small: np.ndarray, large: np.ndarray) -> int:
     return int((large[at] == small).sum())
 
 
-def t_occurrence(sets: list[np.ndarray], part: list[int] | None = None) -> list[tuple[int, int]]:
+def t_occurrence(sets: list[np.ndarray], sizes: list[int] | None = None, part: list[int] | None = None) -> list[tuple[int, int]]:
     """Links (i, j) that connect what is connected at Jaccard NUM / DEN; a spanning set of them.
 
-    part: with two parts, only pairs across are looked for. Sets come sorted; they are taken by size, so that each
-    meets only smaller ones, and T for a set of n is ceil(NUM * n / DEN).
+    sizes: of the whole sets, where `sets` leaves out shingles that no other set holds. part: with two parts, only pairs
+    across are looked for. Sets come sorted; they are taken by size, so that each meets only smaller ones, and T for a
+    set of n is ceil(NUM * n / DEN).
     """
-    order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), i))
+    sizes = sizes or [len(s) for s in sets]
+    order = sorted(range(len(sets)), key=lambda i: (sizes[i], i))
     links, out = Links(len(sets)), []
     lists: dict[int, list[int]] = {}
     done: list[int] = []
     oldest = 0
     leaders: list[int] = []
     for x in order:
-        s, n = sets[x], len(sets[x])
-        if not n:
+        s, n = sets[x], sizes[x]
+        if not len(s):
             continue
-        while oldest < len(done) and DEN * len(sets[done[oldest]]) < NUM * n:
+        while oldest < len(done) and DEN * sizes[done[oldest]] < NUM * n:
             oldest += 1  # too small for this and all later sets
         # a representative of each of the last few components first: of a large group of copies most end here
         for leader in leaders[-8:]:
-            if DEN * len(sets[leader]) >= NUM * n and (part is None or part[leader] != part[x]) and links.find(leader) != links.find(x):
-                if overlap(sets[leader], s) >= needed_overlap(len(sets[leader]), n) and links.join(leader, x):
+            if DEN * sizes[leader] >= NUM * n and (part is None or part[leader] != part[x]) and links.find(leader) != links.find(x):
+                if overlap(sets[leader], s) >= needed_overlap(sizes[leader], n) and links.join(leader, x):
                     out.append((leader, x))
         keys = s.tolist()
         mine = links.find(x)
@@ -180,7 +172,7 @@ def t_occurrence(sets: list[np.ndarray], part: list[int] | None = None) -> list[
             rest = np.sort(np.array([k for _, k in probed], np.uint64)) if probed else None
             for y, have in sorted(counts.items()):
                 y = done[y]
-                m = len(sets[y])
+                m = sizes[y]
                 need = needed_overlap(n, m)
                 if DEN * m < NUM * n or have + longest < need or (part is not None and part[y] == part[x]) or links.find(y) == links.find(x):
                     continue
@@ -195,6 +187,21 @@ def t_occurrence(sets: list[np.ndarray], part: list[int] | None = None) -> list[
     return out
 
 
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the smallest node that edges (a, b) reach."""
+    root = np.arange(n)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, root[a], root[b])
+        np.minimum.at(low, root[b], root[a])
+        while not np.array_equal(up := low[low], low):
+            low = up
+        low = low[root]
+        if np.array_equal(low, root):
+            return root
+        root = low
+
+
 def _sets_of(batches: Iterator[pa.RecordBatch], words: int, id_at: int = 0, text_at: int = 1):
     shingler = Shingler(words)
     for b in batches:
@@ -204,183 +211,313 @@ def _sets_of(batches: Iterator[pa.RecordBatch], words: int, id_at: int = 0, text
             yield i, shingler.shingles(t)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, frequent: int = FREQUENT, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+def _pack(s: np.ndarray, d: np.ndarray, buckets: int):
+    """Postings (shingle, place) dealt by shingle: (bucket, sorted shingles, their places within `used`, used)."""
+    b = (s % np.uint64(buckets)).astype(np.int64)
+    o = np.lexsort((s, b))
+    s, d, b = s[o], d[o], b[o]
+    cuts = np.searchsorted(b, np.arange(buckets + 1))
+    for x in range(buckets):
+        lo, hi = cuts[x], cuts[x + 1]
+        if hi > lo:
+            used, place = np.unique(d[lo:hi], return_inverse=True)
+            yield x, s[lo:hi], place.astype(np.uint32), used
+
+
+def _merged(cells: list[list[bytes]]):
+    """The runs of a bucket, merged by shingle: shingles, places, and keys and sizes by place."""
+    s = np.concatenate([np.frombuffer(c[0], np.uint64) for c in cells])
+    first = np.cumsum([0] + [len(c[2]) // 8 for c in cells])
+    d = np.concatenate([np.frombuffer(c[1], np.uint32).astype(np.int64) + f for c, f in zip(cells, first)])
+    k = np.concatenate([np.frombuffer(c[2], np.int64) for c in cells])
+    n = np.concatenate([np.frombuffer(c[3], np.uint32) for c in cells]).astype(np.int64)
+    o = np.argsort(s, kind="stable")
+    return s[o], d[o], k, n
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
+    runs: dict[int, list[list[bytes]]] = {}
+    for b in batches:
+        for bucket, *cells in zip(*(c.to_pylist() for c in b.columns)):
+            runs.setdefault(bucket, []).append(cells)
+    for bucket in sorted(runs):
+        yield runs.pop(bucket)
 
-    A-Z is lower-cased; words are [^\\x20\\x09-\\x0D]+. A set holds the distinct shingles of that many words; with fewer
-    words, the whole sequence is one; null, empty and blank texts have empty sets, link with nothing and keep their own
-    id. Rows whose doc_id is null get the smallest id of their component like others, null if it has none. Rows that
-    share a doc_id are told apart by their sets and linked through them. Texts are read whole; other columns aren't read;
-    an empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    meta_schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("s", pa.int64())])
 
-    def meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(doc_id, k, n, null) per row and (null, null, count, shingle) for shingles in several different sets of a task."""
-        seen: set[int] = set()
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * len(schema), schema.types)], schema=schema)
+
+
+_KEYED = pa.schema([("bucket", pa.int32()), ("s", pa.binary()), ("d", pa.binary()), ("k", pa.binary()), ("n", pa.binary())])
+_KEYED_DDL = "bucket int, s binary, d binary, k binary, n binary"
+_SETS = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("s", pa.binary()), ("c", pa.binary())])
+_SETS_DDL = "k long, n long, s binary, c binary"
+_CHUNK = 2_000_000
+
+
+def _suspects(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+    """k of the sets that share one of their first shingles by hash with another set."""
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: dict[int, int] = {}
         held: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            s = np.concatenate(held)
+            d = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            k = np.array(list(keys), np.int64)
+            o = np.argsort(s, kind="stable")
+            s, d = s[o], d[o]
+            same = np.zeros(len(s), bool)
+            same[1:] = s[1:] == s[:-1]
+            known = np.zeros(len(k), bool)  # shared within this chunk already
+            known[d[same]] = True
+            known[d[np.nonzero(same)[0] - 1]] = True
+            s, d = s[~same], d[~same]  # one posting of each shingle tells the other chunks
+            for x, run, place, used in _pack(s, d, buckets):
+                yield _rows([(x, run.tobytes(), place.tobytes(), k[used].tobytes(), known[used].tobytes())], _KEYED)
+            at = k[known]
+            for x in range(buckets):
+                if len(mine := at[at % buckets == x]):
+                    yield _rows([(x, b"", b"", mine.tobytes(), None)], _KEYED)
+            keys.clear(), held.clear()
+
         size = 0
+        for _, s in _sets_of(batches, words):
+            if len(s) and (k := set_key(s)) not in keys:
+                keys[k] = len(s)
+                held.append(s[: prefix_length(len(s))])
+                size += len(held[-1])
+                if size > _CHUNK:
+                    yield from flush()
+                    size = 0
+        yield from flush()
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in _by_bucket(batches):
+            told = [np.frombuffer(c[2], np.int64) for c in cells if c[3] is None]
+            cells = [[*c[:3], np.zeros(len(c[2]) // 8, np.uint32).tobytes()] for c in cells if c[3] is not None]
+            if cells:
+                s, d, k, _ = _merged(cells)
+                run = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
+                low, high = np.full(run[-1] + 1, np.iinfo(np.int64).max), np.full(run[-1] + 1, np.iinfo(np.int64).min)
+                np.minimum.at(low, run, k[d])
+                np.maximum.at(high, run, k[d])
+                told.append(k[d][(low != high)[run]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(told)))], names=["k"])
+
+    return docs.mapInArrow(heads, _KEYED_DDL).repartition(buckets, "bucket").mapInArrow(shared, "k long").distinct()
+
+
+def _shared_sets(docs: DataFrame, wanted: DataFrame, words: int, buckets: int, hot: int) -> DataFrame:
+    """(k, n, s, c): of the wanted sets those with T shared shingles; s the shared shingles, sorted, c their counts up to hot."""
+    narrow = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda df: df)
+    chosen = docs.join(narrow(wanted.select("rep", F.col("k").alias("want"))), docs["doc_id"].eqNullSafe(F.col("rep"))).select("doc_id", "text", "want")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        keys: list[int] = []
+        held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if held:
-                s, c = np.unique(np.concatenate(held), return_counts=True)
-                s, c = s[c > 1], c[c > 1]
-                held.clear()
-                none = pa.nulls(len(s), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, pa.array(c.astype(np.int64)), pa.array(s.view(np.int64))], schema=meta_schema)
-
-        rows: list[tuple] = []
-        for i, s in _sets_of(batches, words):
-            k = set_key(s)
-            rows.append((i, k, len(s), None))
-            if len(s) and k not in seen:
-                seen.add(k)
-                held.append(s)
+            if not held:
+                return
+            s = np.concatenate(held)
+            d = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            k, n = np.array(keys, np.int64), np.array([len(h) for h in held], np.uint32)
+            values, at, count = np.unique(s, return_inverse=True, return_counts=True)
+            much = count[at] >= hot
+            # postings of what is hot here go straight to their sets; only the count is sent to the others
+            ms, md = s[much], d[much]
+            cuts = np.searchsorted(md, np.arange(len(held) + 1)).tolist()
+            rows = [
+                (int(k[i] % buckets), ms[lo:hi].tobytes(), np.full(hi - lo, hot, np.uint8).tobytes(), int(k[i]).to_bytes(8, "little", signed=True), int(n[i]).to_bytes(8, "little"))
+                for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo
+            ]
+            for x in range(0, len(rows), 5000):
+                yield _rows(rows[x : x + 5000], _KEYED)
+            hs, hc = values[count >= hot], count[count >= hot]
+            hb = (hs % np.uint64(buckets)).astype(np.int64)
+            for x in np.unique(hb).tolist():
+                yield _rows([(x, hs[hb == x].tobytes(), hc[hb == x].astype(np.uint32).tobytes(), b"", b"")], _KEYED)
+            for x, run, place, used in _pack(s[~much], d[~much], buckets):
+                yield _rows([(x, run.tobytes(), place.tobytes(), k[used].tobytes(), n[used].tobytes())], _KEYED)
+            keys.clear(), held.clear()
+
+        size = 0
+        for b in batches:
+            for t, want in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+                s = shingler.shingles(t)
+                if len(s) and set_key(s) == want:
+                    keys.append(want)
+                    held.append(s)
+                    size += len(s)
+                    if size > _CHUNK:
+                        yield from flush()
+                        size = 0
+        yield from flush()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in _by_bucket(batches):
+            direct = [(int.from_bytes(k, "little", signed=True), int.from_bytes(n, "little"), s, c) for s, c, k, n in cells if len(k) == 8 and len(n) == 8]
+            for x in range(0, len(direct), 5000):
+                yield _rows(direct[x : x + 5000], _SETS)
+            much = [c for c in cells if not c[2]]
+            plain = [c for c in cells if c[2] and not (len(c[2]) == 8 and len(c[3]) == 8)]
+            if not plain:
+                continue
+            s, d, k, n = _merged(plain)
+            o = np.lexsort((k[d], s))
+            s, d = s[o], d[o]
+            new = np.ones(len(s), bool)
+            new[1:] = (s[1:] != s[:-1]) | (k[d[1:]] != k[d[:-1]])
+            s, d = s[new], d[new]  # rows that repeat an id are one set
+            values, at, count = np.unique(s, return_inverse=True, return_counts=True)
+            if much:
+                hs, hc = np.concatenate([np.frombuffer(c[0], np.uint64) for c in much]), np.concatenate([np.frombuffer(c[1], np.uint32) for c in much])
+                place = np.minimum(np.searchsorted(values, hs), len(values) - 1)
+                hit = values[place] == hs
+                np.add.at(count, place[hit], hc[hit])
+            keep = count[at] >= 2
+            s, d, c = s[keep], d[keep], np.minimum(count[at[keep]], hot).astype(np.uint8)
+            o = np.argsort(k[d], kind="stable")
+            s, d, c = s[o], d[o], c[o]
+            of = k[d]
+            cuts = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0].tolist() + [len(of)]
+            rows = [(int(of[lo]), int(n[d[lo]]), s[lo:hi].tobytes(), c[lo:hi].tobytes()) for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
+            for x in range(0, len(rows), 20_000):
+                yield _rows(rows[x : x + 20_000], _SETS)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, list[bytes], list[bytes]]] = {}
+        for b in batches:
+            for k, n, s, c in zip(*(x.to_pylist() for x in b.columns)):
+                mine = held.setdefault(k, (n, [], []))
+                mine[1].append(s)
+                mine[2].append(c)
+        rows, size = [], 0
+        for k in sorted(held):
+            n, s, c = held.pop(k)
+            s, first = np.unique(np.frombuffer(b"".join(s), np.uint64), return_index=True)
+            if len(s) >= -(-NUM * n // DEN):
+                rows.append((k, n, s.tobytes(), np.frombuffer(b"".join(c), np.uint8)[first].tobytes()))
                 size += len(s)
-            if size > 8_000_000:
-                yield from flush()
-                size = 0
-            if len(rows) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), meta_schema.types)], schema=meta_schema)
-                rows = []
+                if size > 1_000_000:
+                    yield _rows(rows, _SETS)
+                    rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), meta_schema.types)], schema=meta_schema)
-        yield from flush()
+            yield _rows(rows, _SETS)
+
+    return chosen.mapInArrow(whole, _KEYED_DDL).repartition(buckets, "bucket").mapInArrow(counted, _SETS_DDL).repartition(buckets, "k").mapInArrow(gathered, _SETS_DDL)
+
+
+def _blocks(sets: DataFrame, buckets: int) -> DataFrame:
+    """(node, component): blocks of sets that a chain of short lists connects."""
 
-    found = materialize(docs.mapInArrow(meta, "doc_id long, k long, n long, s long"), "ngram-sets")
-    rows = found.where("s is null").select("doc_id", "k", "n")
-    # the most frequent shingles, at most `frequent`: a histogram of the logs of their counts gives the bound
-    counts = materialize(found.where("s is not null").groupBy("s").agg(F.sum("n").alias("c")).where("c > 2"), "ngram-counts")
-    step = F.floor(F.log2("c") * 8)
-    held, least = 0, None
-    for r in counts.groupBy(step.alias("b")).count().orderBy(F.desc("b")).collect():
-        if held + r["count"] > frequent:
-            break
-        held, least = held + r["count"], r["b"]
-    top = counts.where(step >= (least if least is not None else 1 << 30)).toPandas()
-    top = top.assign(u=top["s"].to_numpy(np.int64).view(np.uint64)).sort_values("u")
-    sent = spark.sparkContext.broadcast((top["u"].to_numpy(np.uint64), np.floor(np.log2(np.maximum(top["c"].to_numpy(np.float64), 1)) * 8).astype(np.int64)))
-
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per bucket, sorted runs of (shingle, place of the set) and the (key, size) of the run's sets."""
-        order, rank = sent.value
-        seen: set[int] = set()
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[int] = []
         sizes: list[int] = []
-        heads: list[np.ndarray] = []
+        held: list[np.ndarray] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if not heads:
-                return
-            s = np.concatenate(heads)
-            d = np.repeat(np.arange(len(heads), dtype=np.int64), [len(h) for h in heads])
-            b = (s % np.uint64(buckets)).astype(np.int64)
-            o = np.lexsort((s, b))
-            s, d, b = s[o], d[o], b[o]
-            k, n = np.array(keys, np.int64), np.array(sizes, np.int64)
-            cuts = np.searchsorted(b, np.arange(buckets + 1))
-            for x in range(buckets):
-                lo, hi = cuts[x], cuts[x + 1]
-                if hi > lo:
-                    used, place = np.unique(d[lo:hi], return_inverse=True)
-                    cells = [s[lo:hi].tobytes(), place.astype(np.uint32).tobytes(), k[used].tobytes(), n[used].astype(np.uint32).tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)], names=["bucket", "s", "d", "k", "n"])
-            keys.clear(), sizes.clear(), heads.clear()
+            if held:
+                k, n = np.array(keys, np.int64), np.array(sizes, np.uint32)
+                for x, run, place, used in _pack(np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held]), buckets):
+                    yield _rows([(x, run.tobytes(), place.tobytes(), k[used].tobytes(), n[used].tobytes())], _KEYED)
+                keys.clear(), sizes.clear(), held.clear()
 
         size = 0
-        for _, s in _sets_of(batches, words):
-            if not len(s) or (k := set_key(s)) in seen:
-                continue
-            seen.add(k)
-            keys.append(k)
-            sizes.append(len(s))
-            heads.append(ordered(s, order, rank)[: prefix_length(len(s))])
-            size += len(heads[-1])
-            if size > 2_000_000:
-                yield from flush()
-                size = 0
+        for b in batches:
+            for k, n, s, c in zip(*(x.to_pylist() for x in b.columns)):
+                s, c = np.frombuffer(s, np.uint64), np.frombuffer(c, np.uint8)
+                keys.append(k)
+                sizes.append(n)
+                # shingles that no other set holds come first and are left out
+                held.append(s[np.lexsort((s, c))][: prefix_length(n) - (n - len(s))])
+                size += len(held[-1])
+                if size > _CHUNK:
+                    yield from flush()
+                    size = 0
         yield from flush()
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Merge the runs of each bucket by shingle; chain the members of each list by size."""
-        runs: dict[int, list[list[bytes]]] = {}
-        for b in batches:
-            for bucket, *cells in zip(*(c.to_pylist() for c in b.columns)):
-                runs.setdefault(bucket, []).append(cells)
-        for bucket in sorted(runs):
-            of = runs.pop(bucket)
-            s = np.concatenate([np.frombuffer(c[0], np.uint64) for c in of])
-            first = np.cumsum([0] + [len(c[2]) // 8 for c in of])
-            d = np.concatenate([np.frombuffer(c[1], np.uint32).astype(np.int64) + f for c, f in zip(of, first)])
-            k = np.concatenate([np.frombuffer(c[2], np.int64) for c in of])
-            n = np.concatenate([np.frombuffer(c[3], np.uint32) for c in of]).astype(np.int64)
-            o = np.argsort(s, kind="stable")
-            s, d = s[o], d[o]
-            shared = np.zeros(len(s), bool)
-            same = s[1:] == s[:-1]
-            shared[1:] |= same
-            shared[:-1] |= same
-            s, d = s[shared], d[shared]
-            if not len(s):
-                continue
+        """Chain the members of each list by size; tie each chain's members to its smallest."""
+        for cells in _by_bucket(batches):
+            s, d, k, n = _merged(cells)
             o = np.lexsort((k[d], n[d], s))
             s, d = s[o], d[o]
             a, b = d[:-1], d[1:]
             ok = (s[1:] == s[:-1]) & (k[a] != k[b]) & (DEN * n[a] >= NUM * n[b])
-            pairs = np.unique(np.stack([np.minimum(k[a][ok], k[b][ok]), np.maximum(k[a][ok], k[b][ok])]), axis=1)
-            if pairs.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    runs = docs.mapInArrow(postings, "bucket int, s binary, d binary, k binary, n binary")
-    edges = runs.repartition(buckets, "bucket").mapInArrow(chains, "a long, b long")
-    blocks = materialize(connected_components(edges, "ngram-blocks"), "ngram-blocks")
-
-    # one row per set that is in a block, read again from one of its documents
-    firsts = rows.groupBy("k").agg(F.min("doc_id").alias("rep"))
-    sizes = blocks.groupBy("component").agg(F.count("*").alias("members"))
-    wanted = materialize(blocks.join(sizes, "component").join(firsts, F.col("node") == F.col("k")).select("k", "rep", F.col("component").alias("block"), F.ceil(F.col("members") / block_sets).cast("int").alias("parts")), "ngram-wanted")
-    narrow = F.broadcast if wanted.count() <= BROADCAST_IDS else (lambda df: df)
+            keys, place = np.unique(np.concatenate([k[a][ok], k[b][ok]]), return_inverse=True)
+            root = roots(len(keys), place[: ok.sum()], place[ok.sum() :])
+            away = root != np.arange(len(keys))
+            if away.any():
+                yield pa.RecordBatch.from_arrays([pa.array(keys[away]), pa.array(keys[root[away]])], names=["a", "b"])
+
+    edges = sets.mapInArrow(heads, _KEYED_DDL).repartition(buckets, "bucket").mapInArrow(chains, "a long, b long")
+    return connected_components(edges, "ngram-blocks")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(words)
-        for b in batches:
-            cells = [shingler.shingles(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(c) for c in cells], pa.int64()), pa.array([c.tobytes() for c in cells], pa.binary()), b.column(2), b.column(3), b.column(4)], names=["k", "shingles", "want", "block", "parts"])
 
-    # null ids can't be looked up: their texts are read as well, and the key decides
-    chosen = docs.join(narrow(wanted.withColumnRenamed("k", "want")), docs["doc_id"].eqNullSafe(F.col("rep"))).select("doc_id", "text", "want", "block", "parts")
-    members = chosen.mapInArrow(sets, "k long, shingles binary, want long, block long, parts int").where("k = want")
-    # a block's sets meet in one task; a block of several parts in one task per pair of parts
+def _links(sets: DataFrame, blocks: DataFrame, block_sets: int) -> DataFrame:
+    """(a, b): links that connect all that is connected, found block by block."""
+    sizes = blocks.groupBy("component").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("parts"))
+    members = sets.join(blocks.join(sizes, "component"), F.col("k") == F.col("node")).select("k", "n", "s", F.col("component").alias("block"), "parts")
     part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(part, o).alias("i"), F.greatest(part, o).alias("j")))
     )
-    dealt = members.withColumn("p", part).withColumn("pair", F.explode(pairs)).select("block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "p", "k", "shingles")
+    dealt = members.withColumn("p", part).withColumn("pair", F.explode(pairs)).select("block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "p", "k", "n", "s")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict[int, tuple[int, bytes]]] = {}
+        held: dict[tuple, dict[int, tuple]] = {}
         for b in batches:
-            for block, i, j, p, k, s in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault((block, i, j), {})[k] = (p, s)
+            for block, i, j, p, k, n, s in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault((block, i, j), {})[k] = (p, n, s)
         a, c = [], []
         for key in sorted(held):
             group = held.pop(key)
             keys = sorted(group)
-            found = t_occurrence([np.frombuffer(group[k][1], np.uint64) for k in keys], [group[k][0] for k in keys] if key[1] != key[2] else None)
-            a += [keys[x] for x, _ in found]
-            c += [keys[y] for _, y in found]
+            shared = [np.frombuffer(group[k][2], np.uint64) for k in keys]
+            ends = np.array(t_occurrence(shared, [group[k][1] for k in keys], [group[k][0] for k in keys] if key[1] != key[2] else None), np.int64).reshape(-1, 2)
+            for x, y in enumerate(roots(len(keys), ends[:, 0], ends[:, 1]).tolist()):
+                if x != y:  # to the smallest, so that few rounds join the blocks
+                    a.append(keys[x])
+                    c.append(keys[y])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
 
-    links = dealt.repartition("block", "i", "j").mapInArrow(verify, "a long, b long")
-    groups = connected_components(links, "ngram-links")
+    return dealt.repartition("block", "i", "j").mapInArrow(verify, "a long, b long")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, hot: int = HOT, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    A-Z is lower-cased; words are [^\\x20\\x09-\\x0D]+. A set holds the distinct shingles of that many words; with fewer
+    words, the whole sequence is one; null, empty and blank texts have empty sets, link with nothing and keep their own
+    id. Rows whose doc_id is null get the smallest id of their component like others, null if it has none. Rows that
+    share a doc_id are told apart by their sets and linked through them. Texts are read whole; other columns aren't read;
+    an empty table gives no rows.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    meta_schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("n", pa.int64())])
+
+    def meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(words)
+        for b in batches:
+            sets = [shingler.shingles(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64())], schema=meta_schema)
+
+    rows = materialize(docs.mapInArrow(meta, "doc_id long, k long, n long"), "ngram-keys")
+    suspects = _suspects(docs, words, buckets)
+    reps = rows.groupBy("k").agg(F.min("doc_id").alias("rep"))
+    wanted = materialize(reps.join(suspects, "k"), "ngram-wanted")
+    sets = materialize(_shared_sets(docs, wanted, words, buckets, hot), "ngram-shared")
+    groups = connected_components(_links(sets, _blocks(sets, buckets), block_sets), "ngram-links")
     # smallest id of each component: by set first, so a group of copies is one row here
-    by_set = rows.groupBy("k").agg(F.min("doc_id").alias("first"))
-    labelled = by_set.join(groups, F.col("k") == F.col("node"), "left").select("k", "first", F.coalesce("component", "k").alias("g"))
-    lowest = labelled.groupBy("g").agg(F.min("first").alias("component_id"))
+    labelled = reps.join(groups, F.col("k") == F.col("node"), "left").select("k", "rep", F.coalesce("component", "k").alias("g"))
+    lowest = labelled.groupBy("g").agg(F.min("rep").alias("component_id"))
     by_key = materialize(labelled.join(lowest, "g").select(F.col("k").alias("key"), "component_id"), "ngram-lowest")
     return (
         rows.join(by_key, F.col("k") == F.col("key"))
