@@ -30,6 +30,8 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     path = f"{shared_dir(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.option("compression", compression).parquet(path)
+    # shuffle files of what led here are dropped when the JVM finds their plans unreachable; left alone, that may take long
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,10 @@
 """Near-duplicate lines: an exact set-similarity join of token sets (DataFrame functions only).
 
 A line is the set of its distinct words, each a long: the class of the word's frequency in the high bits, a hash below,
-so that sorting a set puts rare words first. Lines of one set are one class. Sets that share Jaccard 3/4 share a word of
-their prefixes (the first n - ceil(3n/4) + 1 words); pairs from that join are held to the length filter, the positional
-filter and the number of common prefix words that 3/4 needs, and what is left is verified on the whole sets. A line that
-matches an earlier one, by document id and line number, is removed.
+so that sorting a set puts rare words first. Lines of one set are one class. If two sets of n and m words have Jaccard
+3/4, they share o = ceil(3(n + m)/7) words, and their first and second common word stand among the first n - o + 2 and
+m - o + 2: pairs that share two words there, and whose sizes allow it, are verified on the whole sets. A line that matches
+an earlier one, by document id and line number, is removed.
 
 Frequencies are kept per bucket of 2 ** SKETCH_BITS word hashes, counted over all rows: a table of fixed size.
 """
@@ -20,44 +20,47 @@ from .common import SPACE, materialize
 
 SKETCH_BITS = 17
 BROADCAST_ROWS = 200_000
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Bits of a word's hash below the 7 bits of its class.
+#: Bits of a word's hash below the 7 bits of its class; common words that a pair must share among its first ones.
 HASH_BITS = 56
+FIRST_COMMON = 2
 
 
-def word_hashes(line: Column) -> Column:
-    """Hashes (HASH_BITS bits) of the words [^\\x20\\x09-\\x0D]+ of a line, A-Z lower-cased, in order."""
-    words = F.filter(F.split(F.translate(line, UPPER, LOWER), SPACE), lambda w: w != "")
-    return F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - HASH_BITS))
+def words(line: Column) -> Column:
+    """The words [^\\x20\\x09-\\x0D]+ of a line in lower case; empty strings may stand between."""
+    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, r"[\x09-\x0D]", " ")).otherwise(line)
+    return F.split(F.lower(plain), " ")
+
+
+def word_hash(word: Column) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(word), 64 - HASH_BITS)
 
 
 def bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(1 << SKETCH_BITS))
+    return F.pmod(h, F.lit(1 << SKETCH_BITS)).cast("int")
 
 
-def frequency_classes(texts: DataFrame) -> bytes:
-    """Per bucket, one byte: the logarithm of the number of words that fall into it."""
-    words = texts.select(F.explode(word_hashes(F.col("text"))).alias("h"))
-    counts = words.groupBy(bucket(F.col("h")).cast("int").alias("b")).count().collect()
-    classes = bytearray([33]) * (1 << SKETCH_BITS)
+def frequency_classes(texts: DataFrame) -> list[int]:
+    """Per bucket, the logarithm of the number of words that fall into it."""
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
+    found = lines.select(F.explode(words(F.col("line"))).alias("w")).where("w <> ''")
+    counts = found.groupBy(bucket(word_hash(F.col("w"))).alias("b")).count().collect()
+    classes = [0] * (1 << SKETCH_BITS)
     for b, n in counts:
-        classes[b] = 33 + int(2 * math.log2(n + 1))
-    return bytes(min(c, 126) for c in classes)
+        classes[b] = min(127, int(2 * math.log2(n + 1)))
+    return classes
 
 
-def ordered_set(line: Column, classes: bytes) -> Column:
+def ordered_set(line: Column, classes: list[int]) -> Column:
     """The distinct words of a line as sorted longs, rare ones first."""
-    table = F.lit(bytearray(classes))
-
-    def word(h: Column) -> Column:
-        kind = F.ascii(F.substring(table, (bucket(h) + 1).cast("int"), F.lit(1)).cast("string"))
-        return F.shiftleft(kind.cast("long"), HASH_BITS).bitwiseOR(h)
-
-    return F.sort_array(F.array_distinct(F.transform(word_hashes(line), word)))
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<long>")  # a constant: it is folded once
+    hashes = F.transform(words(line), lambda w: F.when(w != "", word_hash(w)).otherwise(-1))
+    packed = F.transform(F.array_remove(F.array_distinct(hashes), -1), lambda h: F.shiftleft(F.element_at(table, bucket(h) + 1), HASH_BITS).bitwiseOR(h))
+    return F.sort_array(packed)
 
 
 def prefix_length(n: Column) -> Column:
-    return n - F.ceil(n * 3 / 4).cast("int") + 1
+    """How many of the first words any partner's window may reach."""
+    return F.least(n, n - F.ceil(n * 3 / 4).cast("int") + FIRST_COMMON)
 
 
 def needed(n: Column, m: Column) -> Column:
@@ -72,24 +75,27 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def matched_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, row_key, line_no) of the lines to remove; row_key is the hash of the row's text."""
-    text = docs.select("text").where("text is not null")
-    classes = frequency_classes(text)
+    classes = frequency_classes(docs.select("text").where("text is not null"))
     lines = _lines(docs).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     sets = lines.select("doc_id", "row_key", "line_no", ordered_set(F.col("line"), classes).alias("words"))
     n = F.size("words")
-    sets = sets.select("doc_id", "row_key", "line_no", F.xxhash64("words").alias("sid"), n.alias("n"), F.when(n > 2, F.slice("words", F.lit(1), prefix_length(n))).alias("prefix"))
+    # candidates are found by 32 bits of the word hashes; the whole hashes decide
+    first_words = F.transform(F.slice("words", F.lit(1), prefix_length(n)), lambda w: w.bitwiseAND(0x7FFFFFFF).cast("int"))
+    sets = sets.select("doc_id", "row_key", "line_no", F.xxhash64("words").alias("sid"), n.alias("n"), F.when(n > 2, first_words).alias("prefix"))
     sets = materialize(sets, "lines")
     place = F.struct("doc_id", "line_no")
     firsts = materialize(sets.groupBy("sid").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-classes")
-    # sets of one or two words have no partner but themselves
+    # sets of one or two words have no partner but themselves; size and place of a word share a column
     postings = firsts.where("n > 2").select("sid", "n", F.posexplode("prefix").alias("i", "word"))
-    a = postings.select("word", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"))
-    b = postings.select("word", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
-    reach = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-    smaller_first = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    close = a.join(b, "word").where(smaller_first & (F.col("na") * 4 >= F.col("nb") * 3) & (reach >= needed(F.col("na"), F.col("nb"))))
-    beyond = F.greatest(F.col("na") - prefix_length(F.col("na")), F.col("nb") - prefix_length(F.col("nb")))
-    pairs = close.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common")).where(F.col("common") >= needed(F.col("na"), F.col("nb")) - beyond)
+    packed = postings.select("word", "sid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i")).alias("ni"))
+    a = packed.select("word", F.col("sid").alias("a"), F.col("ni").alias("x"))
+    b = packed.select("word", F.col("sid").alias("b"), F.col("ni").alias("y"))
+    na, nb, ia, ib = F.shiftright("x", 32), F.shiftright("y", 32), F.col("x").bitwiseAND(0xFFFFFFFF), F.col("y").bitwiseAND(0xFFFFFFFF)
+    smaller_first = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
+    # the t-th common word has t - 1 before it: of n words, with o needed, it is among the first n - o + t
+    o = needed(na, nb)
+    close = a.join(b, "word").where(smaller_first & (na * 4 >= nb * 3) & (ia <= na - o + FIRST_COMMON - 1) & (ib <= nb - o + FIRST_COMMON - 1))
+    pairs = close.groupBy("a", "b").agg(F.count("*").alias("common"), F.first(na).cast("int").alias("na"), F.first(nb).cast("int").alias("nb")).where(F.col("common") >= FIRST_COMMON)
     pairs = materialize(pairs.select("a", "b", "na", "nb"), "line-pairs")
     # the whole sets of the classes in a pair, read again where they first stand
     asked = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
@@ -121,7 +127,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_lines, n_removed, removed (numbers of removed lines from 1, comma-joined).
 
-    Lines end at LF; words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; Jaccard is that of the sets of words. Blank
+    Lines end at LF; words are [^\\x20\\x09-\\x0D]+ in lower case; Jaccard is that of the sets of words. Blank
     lines never match. A line is removed if an earlier line (smaller doc_id, null ids first; then smaller line number)
     is at least 3/4 like it, whether that one stays or not. Rows that repeat an id stand at the same place: of equal
     lines there neither is later. Null text is one blank line. Texts of any length are read whole; other columns aren't
@@ -153,7 +159,7 @@ WITH lines AS (
   FROM documents),
 sets AS (
   SELECT doc_id, line_no,
-         list_sort(list_distinct(regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS words
+         list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS words
   FROM lines),
 classes AS (
   SELECT words, len(words) AS n, min({'d': doc_id, 'l': line_no}) AS place, row_number() OVER (ORDER BY words) AS sid
