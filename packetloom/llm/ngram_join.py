@@ -252,6 +252,9 @@ _KEYED = pa.schema([("bucket", pa.int32()), ("s", pa.binary()), ("d", pa.binary(
 _KEYED_DDL = "bucket int, s binary, d binary, k binary, n binary"
 _SETS = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("s", pa.binary()), ("c", pa.binary())])
 _SETS_DDL = "k long, n long, s binary, c binary"
+#: Many sets' shingles in one row: keys, sizes, how many shingles each has here, the shingles and their counts.
+_PACKED = pa.schema([("dest", pa.int32()), ("k", pa.binary()), ("n", pa.binary()), ("m", pa.binary()), ("s", pa.binary()), ("c", pa.binary())])
+_PACKED_DDL = "dest int, k binary, n binary, m binary, s binary, c binary"
 _CHUNK = 2_000_000
 
 
@@ -361,12 +364,20 @@ def _shared_sets(docs: DataFrame, wanted: DataFrame, words: int, buckets: int, h
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in _by_bucket(batches):
-            direct = [(int.from_bytes(k, "little", signed=True), int.from_bytes(n, "little"), s, c) for s, c, k, n in cells if len(k) == 8 and len(n) == 8]
-            for x in range(0, len(direct), 5000):
-                yield _rows(direct[x : x + 5000], _SETS)
+            # what went straight to its set is dealt by key like the rest
+            rows = []
+            direct: dict[int, list[tuple]] = {}
+            for ds, dc, dk, dn in cells:
+                if len(dk) == 8 and len(dn) == 8:
+                    key = int.from_bytes(dk, "little", signed=True)
+                    direct.setdefault(key % buckets, []).append((dk, dn[:4], len(dc).to_bytes(4, "little"), ds, dc))
+            for dest, parts in direct.items():
+                rows.append((dest, *(b"".join(x) for x in zip(*parts))))
             much = [c for c in cells if not c[2]]
             plain = [c for c in cells if c[2] and not (len(c[2]) == 8 and len(c[3]) == 8)]
             if not plain:
+                if rows:
+                    yield _rows(rows, _PACKED)
                 continue
             s, d, k, n = _merged(plain)
             o = np.lexsort((k[d], s))
@@ -382,21 +393,32 @@ def _shared_sets(docs: DataFrame, wanted: DataFrame, words: int, buckets: int, h
                 np.add.at(count, place[hit], hc[hit])
             keep = count[at] >= 2
             s, d, c = s[keep], d[keep], np.minimum(count[at[keep]], hot).astype(np.uint8)
-            o = np.argsort(k[d], kind="stable")
-            s, d, c = s[o], d[o], c[o]
             of = k[d]
-            cuts = np.nonzero(np.concatenate([[True], of[1:] != of[:-1]]))[0].tolist() + [len(of)]
-            rows = [(int(of[lo]), int(n[d[lo]]), s[lo:hi].tobytes(), c[lo:hi].tobytes()) for lo, hi in zip(cuts, cuts[1:]) if hi > lo]
-            for x in range(0, len(rows), 20_000):
-                yield _rows(rows[x : x + 20_000], _SETS)
+            o = np.lexsort((of, of % buckets))
+            s, d, c, of = s[o], d[o], c[o], of[o]
+            head = np.ones(len(of), bool)
+            head[1:] = of[1:] != of[:-1]
+            starts = np.nonzero(head)[0]
+            lengths = np.diff(np.append(starts, len(of)))
+            dest = of[starts] % buckets
+            for x in np.unique(dest).tolist():
+                lo, hi = np.searchsorted(dest, [x, x + 1])
+                first, last = starts[lo], starts[hi - 1] + lengths[hi - 1]
+                mine = starts[lo:hi]
+                rows.append((x, of[mine].tobytes(), n[d[mine]].astype(np.uint32).tobytes(), lengths[lo:hi].astype(np.uint32).tobytes(), s[first:last].tobytes(), c[first:last].tobytes()))
+            if rows:
+                yield _rows(rows, _PACKED)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, list[bytes], list[bytes]]] = {}
         for b in batches:
-            for k, n, s, c in zip(*(x.to_pylist() for x in b.columns)):
-                mine = held.setdefault(k, (n, [], []))
-                mine[1].append(s)
-                mine[2].append(c)
+            for k, n, m, s, c in zip(*(x.to_pylist() for x in b.columns[1:])):
+                at = 0
+                for key, size, many in zip(np.frombuffer(k, np.int64).tolist(), np.frombuffer(n, np.uint32).tolist(), np.frombuffer(m, np.uint32).tolist()):
+                    mine = held.setdefault(key, (size, [], []))
+                    mine[1].append(s[8 * at : 8 * (at + many)])
+                    mine[2].append(c[at : at + many])
+                    at += many
         rows, size = [], 0
         for k in sorted(held):
             n, s, c = held.pop(k)
@@ -410,7 +432,7 @@ def _shared_sets(docs: DataFrame, wanted: DataFrame, words: int, buckets: int, h
         if rows:
             yield _rows(rows, _SETS)
 
-    return chosen.mapInArrow(whole, _KEYED_DDL).repartition(buckets, "bucket").mapInArrow(counted, _SETS_DDL).repartition(buckets, "k").mapInArrow(gathered, _SETS_DDL)
+    return chosen.mapInArrow(whole, _KEYED_DDL).repartition(buckets, "bucket").mapInArrow(counted, _PACKED_DDL).repartition(buckets, "dest").mapInArrow(gathered, _SETS_DDL)
 
 
 def _blocks(sets: DataFrame, buckets: int) -> DataFrame:
