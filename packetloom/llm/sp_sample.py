@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 ALPHA = 0.004
 SAMPLES = 2
 #: Stretches that a worker remembers, and the longest of them.
-MEMO, MEMO_LETTERS = 200_000, 64
+MEMO, MEMO_LETTERS = 400_000, 64
 STRETCH = re.compile(" +[^ ]*")
 NEVER = -math.inf
 
@@ -65,8 +65,14 @@ class Vocabulary:
             self.ids[text] = i
             self.weight[text] = alpha * max(sp.get_score(i), floor)
         self.unknown = alpha * floor
-        # every beginning of a piece; its number is the weight's exponential, 0 if it isn't a piece itself
-        self.trie = {text[:i]: 0.0 for text in self.ids for i in range(1, len(text))} | {t: math.exp(w) for t, w in self.weight.items()}
+        self.unknown_share = math.exp(self.unknown)
+        # a node is [children by letter, the weight's exponential if a piece ends here, else 0]
+        self.trie: list = [{}, 0.0]
+        for text, w in self.weight.items():
+            node = self.trie
+            for letter in text:
+                node = node[0].setdefault(letter, [{}, 0.0])
+            node[1] = math.exp(w)
         self.longest = max(map(len, self.ids), default=1)
         self.unknown_id = sp.unk_id()
 
@@ -76,6 +82,10 @@ class Vocabulary:
 
     def decode(self, ids) -> str:
         """The text of ids, without the space that encoding puts before it. Bytes are joined; broken ones become U+FFFD."""
+        try:
+            return "".join(map(self.text.__getitem__, ids))[1:]
+        except TypeError:  # bytes among them
+            pass
         parts: list[str] = []
         held = bytearray()
         for i in ids:
@@ -120,25 +130,28 @@ class Lattice:
         self.heap: list | None = None
 
     def sums(self, n: int):
-        text, trie, unknown, longest = self.text, self.vocabulary.trie, self.vocabulary.unknown, self.vocabulary.longest
+        text, top = self.text, self.vocabulary.trie[0]
         total, best, last = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
         total[0] = best[0] = 1.0
         for start in range(n):
             t, b = total[start], best[start]
             if t < 1e-280:
                 return None, None
-            single = True
-            for end in range(start + 1, min(n, start + longest) + 1):
-                w = trie.get(text[start:end])
-                if w is None:
+            children, end, single = top, start, True
+            for letter in text[start:]:
+                node = children.get(letter)
+                if node is None:
                     break
+                end += 1
+                children, w = node
                 if w:
-                    single = False if end == start + 1 else single
                     total[end] += t * w
-                    if b * w > best[end]:
-                        best[end], last[end] = b * w, start
+                    if (bw := b * w) > best[end]:
+                        best[end], last[end] = bw, start
+                    if end == start + 1:
+                        single = False
             if single:
-                w = math.exp(unknown)
+                w = self.vocabulary.unknown_share
                 total[start + 1] += t * w
                 if b * w > best[start + 1]:
                     best[start + 1], last[start + 1] = b * w, start
@@ -216,20 +229,34 @@ class Lattice:
 
 
 class Sampler:
-    """Samples of one worker: remembers the lattices of stretches it has met."""
+    """Samples of one worker. It remembers the best paths of stretches (rare ones go first) and the lattices that draws have used."""
 
     def __init__(self, vocabulary: Vocabulary, memo: int = MEMO):
         self.vocabulary, self.memo = vocabulary, memo
-        self.known: dict[str, Lattice] = {}
+        self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+        self.lattices: dict[str, Lattice] = {}
 
     def lattice(self, text: str) -> Lattice:
-        found = self.known.get(text)
+        found = self.lattices.get(text)
         if found is None:
             found = Lattice(self.vocabulary, text)
             if len(text) <= MEMO_LETTERS:
-                if len(self.known) >= self.memo:
-                    self.known.clear()
-                self.known[text] = found
+                if len(self.lattices) >= self.memo // 10:
+                    self.lattices.clear()
+                self.lattices[text] = found
+        return found
+
+    def look(self, text: str) -> tuple[tuple[int, ...], float, float]:
+        """(best path, its log probability, that of all others); what is met again outlives what isn't."""
+        found = self.older.get(text)
+        if found is None:
+            cell = Lattice(self.vocabulary, text)
+            found = cell.best, cell.best_log, cell.others_log
+        if len(text) <= MEMO_LETTERS:
+            if len(self.known) >= self.memo:
+                self.known, self.older = {}, self.known
+            self.known[text] = found
         return found
 
     def sample(self, text: str, k: int, seed: int) -> list[tuple[np.ndarray, float, float, float]]:
@@ -237,21 +264,24 @@ class Sampler:
         text = text.replace("▁", " ")
         if not text:
             return [(np.zeros(0, np.int32), 0.0, 0.0, 1.0)]
-        cells = [self.lattice(s) for s in STRETCH.findall(" " + text)]
+        stretches = STRETCH.findall(" " + text)
+        known, look = self.known.get, self.look
+        cells = [known(x) or look(x) for x in stretches]
         rng = np.random.default_rng(seed)
         n = len(cells)
-        best_log = np.array([c.best_log for c in cells])
-        others_log = np.array([c.others_log for c in cells])
+        best, best_log, others_log = zip(*cells)
+        best_log, others_log = np.array(best_log), np.array(others_log)
+        best_share = np.exp(best_log)
 
         def free(path: list, log: np.ndarray, rest: np.ndarray, start: int) -> None:
             """Draw the stretches from start on without constraint."""
             log[start:], rest[start:] = best_log[start:], others_log[start:]
-            for i in np.nonzero(rng.random(n - start) >= np.exp(best_log[start:]))[0] + start:
+            for i in (np.nonzero(rng.random(n - start) >= best_share[start:])[0] + start).tolist():
                 if others_log[i] > NEVER:
-                    path[i], log[i] = cells[i].draw_other(rng, {cells[i].best: best_log[i]})
+                    path[i], log[i] = self.lattice(stretches[i]).draw_other(rng, {best[i]: float(best_log[i])})
                     rest[i] = math.log(-math.expm1(log[i])) if log[i] < -1e-13 else NEVER
 
-        path, log, rest = [c.best for c in cells], np.empty(n), np.empty(n)
+        path, log, rest = list(best), np.empty(n), np.empty(n)
         free(path, log, rest, 0)
         total = float(log.sum())
         # the perturbed maximum over all paths is a Gumbel at 0; the first path is where it is attained
@@ -282,10 +312,10 @@ class Sampler:
             node["g"][at] = NEVER
             i = node["start"] + at
             excluded = {node["path"][i]: float(node["log"][i])} | (node["excluded"] if at == 0 else {})
-            path = node["path"][:i] + [c.best for c in cells[i:]]
+            path = node["path"][:i] + list(best[i:])
             log, rest = node["log"].copy(), node["rest"].copy()
             free(path, log, rest, i + 1) if i + 1 < n else None
-            path[i], log[i] = cells[i].draw_other(rng, excluded)
+            path[i], log[i] = self.lattice(stretches[i]).draw_other(rng, excluded)
             rest[i] = math.log(-math.expm1(log[i])) if log[i] < -1e-13 else NEVER
             out.append((path, float(log.sum()), top))
             split(path, log, rest, top, i, excluded, float(node["prefix"][at]))
