@@ -115,28 +115,26 @@ class Lattice:
     def __init__(self, vocabulary: Vocabulary, text: str):
         self.vocabulary, self.text = vocabulary, text
         n = len(text)
-        share, last = self.sums(n) if n <= 32 else (None, None)
-        if share is None:
-            share, last = self.log_sums(n)
+        last = self.sums(n) if n <= 32 else None
+        if last is None:
+            last = self.log_sums(n)
         path, end = [], n
         while end:
             path.append(self.piece(last[end], end))
             end = last[end]
         self.best = tuple(chain.from_iterable(reversed(path)))
-        self.best_log = min(0.0, math.log(share))
-        # what the other paths weigh; sums that differ by rounding only mean there is none
-        self.others_log = math.log(1 - share) if share < 1 - 1e-13 else NEVER
         self.found: list = []
         self.heap: list | None = None
 
     def sums(self, n: int):
+        """Per place, the best path to it and the sum of all others, kept apart: small shares aren't lost beside large ones."""
         text, top = self.text, self.vocabulary.trie[0]
-        total, best, last = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
-        total[0] = best[0] = 1.0
+        others, best, last = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+        best[0] = 1.0
         for start in range(n):
-            t, b = total[start], best[start]
-            if t < 1e-280:
-                return None, None
+            o, b = others[start], best[start]
+            if b < 1e-280:
+                return None
             children, end, single = top, start, True
             for letter in text[start:]:
                 node = children.get(letter)
@@ -145,40 +143,65 @@ class Lattice:
                 end += 1
                 children, w = node
                 if w:
-                    total[end] += t * w
                     if (bw := b * w) > best[end]:
+                        others[end] += o * w + best[end]
                         best[end], last[end] = bw, start
+                    else:
+                        others[end] += o * w + bw
                     if end == start + 1:
                         single = False
             if single:
-                w = self.vocabulary.unknown_share
-                total[start + 1] += t * w
-                if b * w > best[start + 1]:
-                    best[start + 1], last[start + 1] = b * w, start
-        if total[n] < 1e-280:
-            return None, None
-        self.total, self.logs = total, False
-        return best[n] / total[n], last
+                w, end = self.vocabulary.unknown_share, start + 1
+                if (bw := b * w) > best[end]:
+                    others[end] += o * w + best[end]
+                    best[end], last[end] = bw, start
+                else:
+                    others[end] += o * w + bw
+        if best[n] < 1e-280:
+            return None
+        self.total, self.logs = [x + y for x, y in zip(best, others)], False
+        whole = self.total[n]
+        self.best_log = math.log1p(-others[n] / whole) if others[n] < 0.5 * whole else math.log(best[n] / whole)
+        self.others_log = math.log(others[n] / whole) if others[n] > 0 else NEVER
+        return last
 
     def log_sums(self, n: int):
+        """The same in logs, for long stretches."""
         text, weight, unknown, longest = self.text, self.vocabulary.weight, self.vocabulary.unknown, self.vocabulary.longest
-        total, best, last = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1)
+        others, best, last = [NEVER] * (n + 1), [NEVER] * (n + 1), [0] * (n + 1)
+        best[0] = 0.0
+
+        def add(values: list[float]) -> float:
+            high = max(values)
+            return high if high == NEVER else high + math.log(sum([math.exp(v - high) for v in values]))
+
         for end in range(1, n + 1):
-            top, at, each = NEVER, end - 1, []
+            each = []
             for start in range(max(0, end - longest), end):
                 w = weight.get(text[start:end])
                 if w is None:
                     if start < end - 1:
                         continue
                     w = unknown
-                if best[start] + w > top:
-                    top, at = best[start] + w, start
-                each.append(total[start] + w)
-            best[end], last[end] = top, at
-            high = max(each)
-            total[end] = high + math.log(sum([math.exp(x - high) for x in each])) if len(each) > 1 else high
-        self.total, self.logs = total, True
-        return math.exp(min(0.0, best[n] - total[n])), last
+                each.append((best[start] + w, -start, others[start] + w))
+            best[end], at, _ = max(each)
+            last[end] = -at
+            others[end] = add([e[2] for e in each] + [e[0] for e in each if e[1] != at])
+        self.total, self.logs = [add([x, y]) for x, y in zip(best, others)], True
+        self.best_log, self.others_log = min(0.0, best[n] - self.total[n]), others[n] - self.total[n]
+        return last
+
+    def remaining(self, excluded: dict[tuple[int, ...], float]) -> float:
+        """Log of what the paths that aren't excluded weigh."""
+        if self.best not in excluded:
+            left = 1 - sum(map(math.exp, excluded.values()))
+        elif self.others_log == NEVER:
+            return NEVER
+        else:  # relative to the others, which may weigh next to nothing
+            left = 1 - sum(math.exp(v - self.others_log) for k, v in excluded.items() if k != self.best)
+        if left < 1e-12:
+            return NEVER
+        return math.log(left) + (self.others_log if self.best in excluded else 0.0)
 
     def piece(self, start: int, end: int) -> tuple[int, ...]:
         text = self.text[start:end]
@@ -214,17 +237,15 @@ class Lattice:
 
     def draw_other(self, rng: np.random.Generator, excluded: dict[tuple[int, ...], float]) -> tuple[tuple[int, ...], float]:
         """A path that isn't excluded, by its probability among those: walks down the paths until the drawn mass is reached."""
-        left = rng.random() * (1 - sum(map(math.exp, excluded.values())))
-        found, walked = None, 0.0
+        whole = self.remaining(excluded)
+        left, found = rng.random(), None
         for path, log in self.paths():
             if path not in excluded:
+                share = math.exp(log - whole)
                 found = path, log
-                left -= math.exp(log)
-                if left <= 0:
+                left -= share
+                if left <= 0 or share < 1e-15:
                     break
-            walked += math.exp(log)
-            if found and walked >= 1 - 1e-12:
-                break
         return found
 
 
@@ -279,7 +300,7 @@ class Sampler:
             for i in (np.nonzero(rng.random(n - start) >= best_share[start:])[0] + start).tolist():
                 if others_log[i] > NEVER:
                     path[i], log[i] = self.lattice(stretches[i]).draw_other(rng, {best[i]: float(best_log[i])})
-                    rest[i] = math.log(-math.expm1(log[i])) if log[i] < -1e-13 else NEVER
+                    rest[i] = math.log1p(-math.exp(log[i]))
 
         path, log, rest = list(best), np.empty(n), np.empty(n)
         free(path, log, rest, 0)
@@ -294,8 +315,7 @@ class Sampler:
             prefix = before + np.concatenate([[0.0], np.cumsum(log[start:])[:-1]])
             mass = prefix + rest[start:]
             if excluded:
-                held = sum(map(math.exp, excluded.values())) + math.exp(log[start])
-                mass[0] = before + (math.log1p(-held) if held < 1 - 1e-13 else NEVER)
+                mass[0] = before + self.lattice(stretches[start]).remaining({**excluded, path[start]: float(log[start])})
             with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
                 g = mass - np.log(np.exp(mass - top) - np.log(rng.random(n - start)))
             g[~np.isfinite(mass)] = NEVER
@@ -316,7 +336,7 @@ class Sampler:
             log, rest = node["log"].copy(), node["rest"].copy()
             free(path, log, rest, i + 1) if i + 1 < n else None
             path[i], log[i] = self.lattice(stretches[i]).draw_other(rng, excluded)
-            rest[i] = math.log(-math.expm1(log[i])) if log[i] < -1e-13 else NEVER
+            rest[i] = math.log1p(-math.exp(log[i]))
             out.append((path, float(log.sum()), top))
             split(path, log, rest, top, i, excluded, float(node["prefix"][at]))
         result = []
@@ -334,7 +354,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     """Per row of docs, up to samples distinct segmentations: doc_id, rank (by perturbed weight), n_pieces, log_prob, perturbed, inclusion, ids_sha256 (of little-endian 32-bit ids), round_trip (the ids decode to the text), ids if with_ids.
 
     Rows are seeded by their id: reruns agree, repeated rows get the same samples, null ids share a seed. Null and empty
-    text give one empty segmentation; a text with fewer segmentations gives them all, with inclusion 1. The mark U+2581
+    text give one empty segmentation; a text with fewer segmentations gives them all, with inclusion 1 (choices that weigh
+    under 1e-12 of what else is left of their stretch don't count). The mark U+2581
     in a text counts as a space, as the model has it. Texts are worked on whole; other columns aren't read; an empty
     table gives no rows. The model file is read on the driver and broadcast: its size is fixed.
     """
