@@ -174,7 +174,9 @@ def test_lattice_sums_and_order(vocabulary):
         assert [w for _, w in got] == sorted((w for _, w in got), reverse=True) and got[0][1] == pytest.approx(cell.best_log)
 
 
-def test_all_segmentations_when_there_are_few(vocabulary):
+def test_all_segmentations_when_there_are_few():
+    with open(sp_sample.default_path(), "rb") as f:
+        vocabulary = sp_sample.Vocabulary(f.read(), 0.0002)
     got = sp_sample.Sampler(vocabulary).sample("ab", 50, 1)
     assert len(got) == len(all_paths(vocabulary, " ab")) and all(x[3] == 1 for x in got)
     assert len({tuple(x[0].tolist()) for x in got}) == len(got)
