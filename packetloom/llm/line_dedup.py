@@ -6,7 +6,8 @@ so that sorting a set puts rare words first. Lines of one set are one class. If
 m - o + 2: pairs that share two words there, and whose sizes allow it, are verified on the whole sets. A line that matches
 an earlier one, by document id and line number, is removed.
 
-Frequencies are kept per bucket of 2 ** SKETCH_BITS word hashes, counted over all rows: a table of fixed size.
+Words are counted over all rows; the order knows, per bucket of 2 ** SKETCH_BITS word hashes, the count of the bucket's
+most frequent word: a table of fixed size in which rare words stay rare however many share a bucket.
 """
 
 from __future__ import annotations
@@ -40,12 +41,12 @@ def bucket(h: Column) -> Column:
 
 
 def frequency_classes(texts: DataFrame) -> list[int]:
-    """Per bucket, the logarithm of the number of words that fall into it."""
+    """Per bucket, the logarithm of the count of its most frequent word."""
     lines = texts.select(F.explode(F.split("text", "\n")).alias("line"))
     found = lines.select(F.explode(words(F.col("line"))).alias("w")).where("w <> ''")
-    counts = found.groupBy(bucket(word_hash(F.col("w"))).alias("b")).count().collect()
+    counts = found.groupBy(word_hash(F.col("w")).alias("h")).count()
     classes = [0] * (1 << SKETCH_BITS)
-    for b, n in counts:
+    for b, n in counts.groupBy(bucket(F.col("h")).alias("b")).agg(F.max("count")).collect():
         classes[b] = min(127, int(2 * math.log2(n + 1)))
     return classes
 
