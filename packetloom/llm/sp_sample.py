@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
 from itertools import chain
 
@@ -27,6 +27,9 @@ ALPHA = 0.004
 SAMPLES = 2
 #: Stretches that a worker remembers, and the longest of them.
 MEMO, MEMO_LETTERS = 400_000, 64
+#: Longest stretch and piece that are worked on many at a time; longer ones are worked on one by one.
+TABLE_LETTERS, TOGETHER = 20, 20_000
+PRIME = 0x9E3779B97F4A7C15
 STRETCH = re.compile(" +[^ ]*")
 NEVER = -math.inf
 
@@ -75,6 +78,17 @@ class Vocabulary:
             node[1] = math.exp(w)
         self.longest = max(map(len, self.ids), default=1)
         self.unknown_id = sp.unk_id()
+        # for many stretches at once: every beginning of a piece by a hash of its letters, sorted; share 0 if it's no piece itself
+        table: dict[int, tuple[int, float, int]] = {}
+        for text in self.ids:
+            h = 0
+            for size, letter in enumerate(text[:TABLE_LETTERS], 1):
+                h = (h * PRIME + ord(letter) + 1) & 0xFFFFFFFFFFFFFFFF
+                part = text[:size]
+                table[h] = size, math.exp(self.weight[part]) if part in self.ids else 0.0, self.ids.get(part, -1)
+        order = sorted(table)
+        self.hashes = np.array(order, np.uint64)
+        self.lengths, self.shares, self.numbers = (np.array(x) for x in zip(*(table[h] for h in order)))
 
     def fallback(self, letter: str) -> tuple[int, ...]:
         """The ids of a letter that no piece writes: its bytes, or the unknown piece in a model without bytes."""
@@ -103,6 +117,51 @@ class Vocabulary:
         return "".join(parts)[1:]
 
 
+def best_paths(vocabulary: Vocabulary, stretches: list[str]) -> dict[str, tuple[tuple[int, ...], float, float]]:
+    """For stretches of one length: best path, its log probability, that of all others; a row per stretch in every array.
+
+    Stretches with a letter that no piece writes, or whose weights underflow, are left out: Lattice does those.
+    """
+    n, length = len(stretches), len(stretches[0])
+    codes = np.frombuffer("".join(stretches).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, length).T.astype(np.uint64) + np.uint64(1)
+    others, best, last = np.zeros((length + 1, n)), np.zeros((length + 1, n)), np.zeros((length + 1, n), np.int64)
+    reach = min(length, TABLE_LETTERS)
+    piece = np.zeros((length, reach + 1, n), np.int32)
+    best[0] = 1.0
+    fine = np.ones(n, bool)
+    prime = np.uint64(PRIME)
+    for start in range(length):
+        alive, h = np.arange(n), np.zeros(n, np.uint64)
+        for size in range(1, min(reach, length - start) + 1):
+            h = h * prime + codes[start + size - 1][alive]
+            at = np.minimum(np.searchsorted(vocabulary.hashes, h), len(vocabulary.hashes) - 1)
+            hit = (vocabulary.hashes[at] == h) & (vocabulary.lengths[at] == size)
+            if size == 1:
+                fine[~hit | (vocabulary.shares[at] == 0)] = False
+            alive, h, at = alive[hit], h[hit], at[hit]
+            if not len(alive):
+                break
+            end, w = start + size, vocabulary.shares[at]
+            b, o, was = best[start, alive] * w, others[start, alive] * w, best[end, alive]
+            more = b > was
+            others[end, alive] += o + np.where(more, was, b)
+            best[end, alive] = np.where(more, b, was)
+            last[end, alive] = np.where(more, start, last[end, alive])
+            piece[start, size, alive] = vocabulary.numbers[at]
+    whole = best[length] + others[length]
+    fine &= best[length] > 1e-280
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logs = np.where(others[length] < 0.5 * whole, np.log1p(-others[length] / whole), np.log(best[length] / whole))
+        rest = np.log(others[length] / whole)
+    rows, end, path = np.arange(n), np.full(n, length), []
+    while end.any():
+        start = last[end, rows]
+        path.append(np.where(end > 0, piece[start, end - start, rows], -1))
+        end = np.where(end > 0, start, 0)
+    ids = np.array(path[::-1]).T.tolist()
+    return {x: (tuple([i for i in p if i >= 0]), a, o) for x, p, a, o, ok in zip(stretches, ids, logs.tolist(), rest.tolist(), fine.tolist()) if ok}
+
+
 class Lattice:
     """One stretch: its sums, its best path, and draws of others. A path is a tuple of ids.
 
@@ -268,6 +327,22 @@ class Sampler:
                 self.lattices[text] = found
         return found
 
+    def prepare(self, stretches: Iterable[str]) -> None:
+        """Remember what sample() will ask for, many stretches at a time."""
+        missing: dict[int, list[str]] = {}
+        for x in set(stretches):
+            if x not in self.known:
+                if len(x) > TABLE_LETTERS or x in self.older:
+                    self.look(x)
+                else:
+                    missing.setdefault(len(x), []).append(x)
+        for same in missing.values():
+            for at in range(0, len(same), TOGETHER):
+                found = best_paths(self.vocabulary, same[at : at + TOGETHER])
+                if len(self.known) + len(found) > self.memo:
+                    self.known, self.older = {}, self.known
+                self.known |= found
+
     def look(self, text: str) -> tuple[tuple[int, ...], float, float]:
         """(best path, its log probability, that of all others); what is met again outlives what isn't."""
         found = self.older.get(text)
@@ -370,8 +445,15 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         sampler = Sampler(Vocabulary(sent.value, alpha))
         for b in batches:
             rows, size = [], 0
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                text = text or ""
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            ahead = 0
+            for place, (key, text) in enumerate(zip(b.column(0).to_pylist(), texts)):
+                if place == ahead:
+                    letters = 0
+                    while ahead < len(texts) and (ahead == place or letters + len(texts[ahead]) < 1 << 20):
+                        letters += len(texts[ahead])
+                        ahead += 1
+                    sampler.prepare(chain.from_iterable(STRETCH.findall(" " + t.replace("▁", " ")) for t in texts[place:ahead]))
                 plain = text.replace("▁", " ")
                 for rank, (ids, log, g, inclusion) in enumerate(sampler.sample(text, samples, row_seed(key, seed)), 1):
                     back = sampler.vocabulary.decode(ids.tolist()) == plain
