@@ -451,8 +451,8 @@ b AS (SELECT item_id, upper(substr(text, 1, 60)) AS t FROM benchmark WHERE item_
 SELECT item_id, count(*) AS n, round(avg(CASE WHEN trim(b.t) = '' OR trim(d.t) = '' THEN 1.0::DOUBLE ELSE least(levenshtein(b.t, d.t) / length(b.t)::DOUBLE, 1) END), 6) AS cer FROM b, d GROUP BY item_id""")
 def page_cer(spark, sf_dir):
     plain = lambda c: F.upper(F.substring(c, 1, 60))
-    d = D.table(spark, sf_dir, "documents").where("text is not null").where(F.substring("text", 1, 60).rlike("^[ -~]*$")).select(plain("text").alias("observed"))
-    b = D.table(spark, sf_dir, "benchmark").where("item_id < 20").where(F.substring("text", 1, 60).rlike("^[ -~]*$")).select("item_id", plain("text").alias("expected"))
+    d = D.table(spark, sf_dir, "documents").where("text is not null").where(F.substring("text", 1, 60).rlike(r"\A[ -~]*\z")).select(plain("text").alias("observed"))
+    b = D.table(spark, sf_dir, "benchmark").where("item_id < 20").where(F.substring("text", 1, 60).rlike(r"\A[ -~]*\z")).select("item_id", plain("text").alias("expected"))
     # the known texts are a stated set of twenty: they travel in each row
     known = F.broadcast(b.agg(F.collect_list(F.struct("item_id", "expected")).alias("items")))
     rows = d.join(known, F.lit(True)).select("observed", F.explode("items").alias("x"))
