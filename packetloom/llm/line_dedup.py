@@ -2,9 +2,10 @@
 
 A line is the set of its distinct words, each a long: the class of the word's frequency in the high bits, a hash below,
 so that sorting a set puts rare words first. Lines of one set are one class. If two sets of n and m words have Jaccard
-3/4, they share o = ceil(3(n + m)/7) words, and their first and second common word stand among the first n - o + 2 and
-m - o + 2: pairs that share two words there, and whose sizes allow it, are verified on the whole sets. A line that matches
-an earlier one, by document id and line number, is removed.
+3/4, they share o = ceil(3(n + m)/7) words, and the first of these stands among the first n - o + 1 and m - o + 1: pairs
+that share a word there, and whose sizes allow it, are held to a bound from 64-bit signatures (each bit in which they
+differ is a word that isn't common) and what is left is verified on the whole sets. A line that matches an earlier one,
+by document id and line number, is removed.
 
 Words are counted over all rows; the order knows, per bucket of 2 ** SKETCH_BITS word hashes, the count of the bucket's
 most frequent word: a table of fixed size in which rare words stay rare however many share a bucket.
@@ -21,9 +22,8 @@ from .common import SPACE, materialize
 
 SKETCH_BITS = 17
 BROADCAST_ROWS = 200_000
-#: Bits of a word's hash below the 7 bits of its class; common words that a pair must share among its first ones.
+#: Bits of a word's hash below the 7 bits of its class.
 HASH_BITS = 56
-FIRST_COMMON = 2
 
 
 def words(line: Column) -> Column:
@@ -61,7 +61,13 @@ def ordered_set(line: Column, classes: list[int]) -> Column:
 
 def prefix_length(n: Column) -> Column:
     """How many of the first words any partner's window may reach."""
-    return F.least(n, n - F.ceil(n * 3 / 4).cast("int") + FIRST_COMMON)
+    return n - F.ceil(n * 3 / 4).cast("int") + 1
+
+
+def signature(words: Column) -> Column:
+    """One of 64 bits per word."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(63).cast("int"))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseOR(bit(w)))
 
 
 def needed(n: Column, m: Column) -> Column:
@@ -82,22 +88,23 @@ def matched_lines(docs: DataFrame) -> DataFrame:
     n = F.size("words")
     # candidates are found by 32 bits of the word hashes; the whole hashes decide
     first_words = F.transform(F.slice("words", F.lit(1), prefix_length(n)), lambda w: w.bitwiseAND(0x7FFFFFFF).cast("int"))
-    sets = sets.select("doc_id", "row_key", "line_no", F.xxhash64("words").alias("sid"), n.alias("n"), F.when(n > 2, first_words).alias("prefix"))
+    sets = sets.select("doc_id", "row_key", "line_no", F.xxhash64("words").alias("sid"), n.alias("n"), F.when(n > 2, first_words).alias("prefix"), F.when(n > 2, signature(F.col("words"))).alias("bits"))
     sets = materialize(sets, "lines")
     place = F.struct("doc_id", "line_no")
-    firsts = materialize(sets.groupBy("sid").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "line-classes")
+    firsts = materialize(sets.groupBy("sid").agg(F.min(place).alias("place"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "line-classes")
     # sets of one or two words have no partner but themselves; size and place of a word share a column
-    postings = firsts.where("n > 2").select("sid", "n", F.posexplode("prefix").alias("i", "word"))
-    packed = postings.select("word", "sid", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i")).alias("ni"))
-    a = packed.select("word", F.col("sid").alias("a"), F.col("ni").alias("x"))
-    b = packed.select("word", F.col("sid").alias("b"), F.col("ni").alias("y"))
+    postings = firsts.where("n > 2").select("sid", "n", "bits", F.posexplode("prefix").alias("i", "word"))
+    packed = postings.select("word", "sid", "bits", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i")).alias("ni"))
+    a = packed.select("word", F.col("sid").alias("a"), F.col("bits").alias("p"), F.col("ni").alias("x"))
+    b = packed.select("word", F.col("sid").alias("b"), F.col("bits").alias("q"), F.col("ni").alias("y"))
     na, nb, ia, ib = F.shiftright("x", 32), F.shiftright("y", 32), F.col("x").bitwiseAND(0xFFFFFFFF), F.col("y").bitwiseAND(0xFFFFFFFF)
     smaller_first = (na < nb) | ((na == nb) & (F.col("a") < F.col("b")))
-    # the t-th common word has t - 1 before it: of n words, with o needed, it is among the first n - o + t
     o = needed(na, nb)
-    close = a.join(b, "word").where(smaller_first & (na * 4 >= nb * 3) & (ia <= na - o + FIRST_COMMON - 1) & (ib <= nb - o + FIRST_COMMON - 1))
-    pairs = close.groupBy("a", "b").agg(F.count("*").alias("common"), F.first(na).cast("int").alias("na"), F.first(nb).cast("int").alias("nb")).where(F.col("common") >= FIRST_COMMON)
-    pairs = materialize(pairs.select("a", "b", "na", "nb"), "line-pairs")
+    close = a.join(b, "word").where(
+        smaller_first & (na * 4 >= nb * 3) & (F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= na + nb - 2 * o) & (ia <= na - o) & (ib <= nb - o)
+    )
+    pairs = close.select("a", "b", na.cast("int").alias("na"), nb.cast("int").alias("nb")).distinct()
+    pairs = materialize(pairs, "line-pairs")
     # the whole sets of the classes in a pair, read again where they first stand
     asked = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
     asked = materialize(firsts.join(asked, "sid").select("sid", "place", F.col("place.doc_id").alias("first_doc"), F.col("place.line_no").alias("first_line")), "line-asked")
