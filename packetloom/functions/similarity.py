@@ -70,6 +70,35 @@ def error_rate(expected: Column, observed: Column) -> Column:
     return F.when(blank, F.lit(1.0)).otherwise(F.least(F.levenshtein(expected, observed) / F.length(expected), F.lit(1.0)))
 
 
+class EditDistances:
+    """Edit distances of a text to many known ones at once: their bit vectors (Myers, Hyyrö) lie side by side in one integer, a spare bit after each."""
+
+    def __init__(self, known: list[str]):
+        self.fields, self.first, self.all, at = [], 0, 0, 0
+        self.places: dict[str, int] = {}
+        for text in known:
+            self.fields.append((at, len(text)))
+            if text:
+                self.first |= 1 << at
+            self.all |= ((1 << len(text)) - 1) << at
+            for i, letter in enumerate(text):
+                self.places[letter] = self.places.get(letter, 0) | 1 << at + i
+            at += len(text) + 1
+
+    def __call__(self, text: str) -> list[int]:
+        every, first, places = self.all, self.first, self.places
+        up, down = every, 0
+        for letter in text:
+            eq = places.get(letter, 0)
+            v = eq | down
+            h = ((eq & up) + up ^ up | eq) & every
+            rise = (down | every ^ (h | up)) << 1 | first
+            fall = (up & h) << 1
+            up = (fall | every ^ (v | rise) & every) & every
+            down = rise & v
+        return [len(text) + (up >> at & (1 << n) - 1).bit_count() - (down >> at & (1 << n) - 1).bit_count() for at, n in self.fields]
+
+
 def channel_log_probability(observed: str, candidate: str, counts: dict[tuple[str, str | None, str | None], int], alpha: float = 0.25) -> float:
     """Log probability of observed given candidate: smoothed rates of the operations on the cheapest alignment.
 

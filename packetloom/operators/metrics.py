@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
+from ..functions.similarity import EditDistances
 from ..functions.text import squeeze
 
 
@@ -98,3 +101,39 @@ def select_config(scored: DataFrame) -> DataFrame:
     best = F.min(F.struct(F.col("false_approvals"), (-F.col("points")).alias("p"), (-F.col("correct")).alias("c"), (-F.col("approve")).alias("a"), F.col("review"), F.col("deny"), F.col("dq_deny"), F.col("dq_ceiling")))
     x = scored.agg(best.alias("x"))
     return x.select("x.false_approvals", (-F.col("x.p")).alias("points"), (-F.col("x.c")).alias("correct"), (-F.col("x.a")).alias("approve"), "x.review", "x.deny", "x.dq_deny", "x.dq_ceiling")
+
+
+def page_error_rates(items: DataFrame, texts: DataFrame, block: int = 256, part: int = 4096) -> DataFrame:
+    """item_id, n, cer: the mean error rate of each of items (item_id, expected) over all of texts (observed), whole and in any letters.
+
+    Repeated and blank rows of either count. A text at least twice as long as the item is as many edits away as the item
+    has letters, so its rate is 1 and needs no alignment; the other pairs are aligned in full, equal texts once, blocks of
+    items of like length against parts of the texts.
+    """
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("expected", F.lit("")).alias("expected")).groupBy("item_id", "expected").agg(F.count("*").alias("times")).withColumn("size", F.length("expected"))
+    longest, many = items.agg(F.max("size"), F.count("*")).first()
+    length, near = F.length("observed"), (F.length("observed") < 2 * (longest or 0)) & (F.trim("observed") != "")
+    n, close = texts.agg(F.count("*"), F.count_if(near)).first()
+    blocks, parts = math.ceil(many / block), max(1, math.ceil(close / part))
+    some = items.where(F.trim("expected") != "").withColumn("block", F.floor(F.col("size") / 64) * blocks + F.pmod(F.xxhash64("item_id", "expected"), F.lit(blocks or 1)))
+    reach = some.groupBy("block").agg(F.max("size").alias("reach")).withColumnRenamed("block", "at")
+    distinct = texts.where(near).groupBy("observed").agg(F.count("*").alias("copies")).withColumn("part", F.pmod(F.xxhash64("observed"), F.lit(parts)))
+    dealt = distinct.join(reach, length < 2 * F.col("reach")).select("at", "part", "observed", "copies")
+    known = some.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).select("block", F.col("part").cast("long").alias("part"), "item_id", "expected", "times", "size")
+    schema = pa.schema([("item_id", pa.int64()), ("expected", pa.string()), ("saved", pa.int64())])
+
+    def aligned(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Edits that each item is spared against a rate of 1."""
+        expected = right.column("expected").to_pylist()
+        sizes, spared, distances = [len(e) for e in expected], [0] * len(expected), EditDistances(expected)
+        for observed, copies in zip(left.column("observed").to_pylist(), left.column("copies").to_pylist()):
+            for i, d in enumerate(distances(observed)):
+                if d < sizes[i]:
+                    spared[i] += copies * (sizes[i] - d)
+        return pa.table([right.column("item_id"), pa.array(expected, pa.string()), pa.array(spared, pa.int64())], schema=schema)
+
+    saved = dealt.toDF("block", "part", "observed", "copies").groupBy("block", "part").cogroup(known.groupBy("block", "part")).applyInArrow(aligned, "item_id long, expected string, saved long")
+    every = items.select("item_id", "expected", "times", "size", F.lit(0).cast("long").alias("saved")).unionByName(saved.select("item_id", "expected", F.lit(0).cast("long").alias("times"), F.lit(0).alias("size"), "saved"))
+    each = every.groupBy("item_id", "expected").agg(F.sum("times").alias("times"), F.max("size").alias("size"), F.sum("saved").alias("saved")).where(F.lit(n > 0))
+    rate = F.when(F.col("saved") > 0, 1 - F.col("saved") / F.col("size") / n).otherwise(F.lit(1.0))
+    return each.groupBy("item_id").agg((F.sum("times") * n).alias("n"), (F.sum(F.col("times") * rate) / F.sum("times")).alias("cer"))

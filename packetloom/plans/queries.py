@@ -459,6 +459,14 @@ def page_cer(spark, sf_dir):
     return rows.groupBy(F.col("x.item_id").alias("item_id")).agg(F.count("*").alias("n"), F.round(F.avg(S.error_rate(F.col("x.expected"), F.col("observed"))), 6).alias("cer"))
 
 
+@query()
+def page_cer_whole(spark, sf_dir):
+    """page_cer without its cuts: whole texts in any letters, every item."""
+    d = D.table(spark, sf_dir, "documents").where("text is not null").select(F.upper("text").alias("observed"))
+    b = D.table(spark, sf_dir, "benchmark").select("item_id", F.upper("text").alias("expected"))
+    return metrics.page_error_rates(b, d).select("item_id", "n", F.round("cer", 6).alias("cer"))
+
+
 @query()
 def sequence_ratio(spark, sf_dir):
     return _damaged(spark, sf_dir).select("k", F.round(S.sequence_ratio_udf("raw", D.pick(V.PURPOSES, F.col("k"))), 6).alias("ratio"))
