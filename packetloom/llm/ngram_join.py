@@ -10,16 +10,14 @@ set of n, a partner at Jaccard 3/4 must hold at least T = ceil(3n/4) shingles, a
 3. Blocks. With rare shingles first, the short lists of a set are those of its first n - T + 1 shingles; the lists of the
    others are never merged. Sorted runs of short-list postings are merged by shingle; members of a list whose sizes
    allow a link are chained (not paired), and the components of these chains are blocks that no link leaves.
-4. Search. Within a block every set merges its shortest inverted lists and counts; its longest ones are only probed, by
-   binary search in the candidates that can still reach T; what reaches the overlap that 3/4 of the union needs is
-   linked. Sets that are already connected aren't compared again: only components are asked for, and no link between
-   components is missed. Blocks above BLOCK_SETS sets are worked on as pairs of parts: no task holds more than two.
+4. Search. Within a block every set merges its shortest inverted lists and counts; its longest ones are only probed, as
+   bits of the candidates that can still reach T; what reaches the overlap that 3/4 of the union needs is linked. Every
+   link between two sets is found once and counted at both, by the rows that the other set has; pairs are neither kept
+   nor sent. Blocks above BLOCK_SETS sets are worked on as pairs of parts: no task holds more than two.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +34,8 @@ NUM, DEN = 3, 4
 #: Counts from here on are one class. A task that meets a shingle as often sends its count, not its postings.
 HOT = 64
 BLOCK_SETS = 4096
+#: Lists that more than one in LONG sets of a block are on are probed, not merged.
+LONG = 16
 BROADCAST_IDS = 1 << 20
 MEMO = 1_000_000
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS)], dtype=np.uint64)
@@ -84,107 +84,81 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1 if n else 0
 
 
-class Links:
-    """Union-find over the sets of a block."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-        self.size = [1] * n
-
-    def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.find(i), self.find(j)
-        if i == j:
-            return False
-        i, j = (i, j) if self.size[i] >= self.size[j] else (j, i)
-        self.parent[j] = i
-        self.size[i] += self.size[j]
-        return True
-
-
-def needed_overlap(n: int, m: int) -> int:
-    """Least intersection of sets of n and m at Jaccard NUM / DEN: (DEN + NUM) * overlap >= NUM * (n + m)."""
+def needed_overlap(n: int, m: np.ndarray) -> np.ndarray:
+    """Least intersections of a set of n with sets of m at Jaccard NUM / DEN: (DEN + NUM) * overlap >= NUM * (n + m)."""
     return -(-NUM * (n + m) // (DEN + NUM))
 
 
-def overlap(small: np.ndarray, large: np.ndarray) -> int:
-    """Size of the intersection of sorted sets by binary probes."""
-    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-    return int((large[at] == small).sum())
-
-
-def t_occurrence(sets: list[np.ndarray], sizes: list[int] | None = None, part: list[int] | None = None) -> list[tuple[int, int]]:
-    """Links (i, j) that connect what is connected at Jaccard NUM / DEN; a spanning set of them.
+def linked(sets: list[np.ndarray], sizes: list[int] | None = None, part: list[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(x, those before x in the search that x links with at Jaccard NUM / DEN): every link once.
 
     sizes: of the whole sets, where `sets` leaves out shingles that no other set holds. part: with two parts, only pairs
     across are looked for. Sets come sorted; they are taken by size, so that each meets only smaller ones, and T for a
-    set of n is ceil(NUM * n / DEN).
+    set of n is ceil(NUM * n / DEN). Lists of more than a LONG-th of the sets are long ones.
     """
-    sizes = sizes or [len(s) for s in sets]
-    order = sorted(range(len(sets)), key=lambda i: (sizes[i], i))
-    links, out = Links(len(sets)), []
-    lists: dict[int, list[int]] = {}
-    done: list[int] = []
-    oldest = 0
-    leaders: list[int] = []
-    for x in order:
-        s, n = sets[x], sizes[x]
-        if not len(s):
+    sizes = np.array([len(s) for s in sets] if sizes is None else sizes, np.int64)
+    order = np.lexsort((np.arange(len(sets)), sizes))
+    order = order[[len(sets[i]) > 0 for i in order]] if len(order) else order
+    if len(order) < 2:
+        return
+    size, side = sizes[order], None if part is None else np.array(part)[order]
+    many = [len(sets[i]) for i in order]
+    owner = np.repeat(np.arange(len(order)), many)
+    _, run, length = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True, return_counts=True)
+    much = length > max(16, len(order) // LONG)
+    # the long lists as bits by set: probing them is a count of common bits
+    column = np.cumsum(much) - 1
+    bits = np.zeros((len(order), -(-max(1, int(much.sum())) // 64)), np.uint64)
+    m, c = owner[much[run]], column[run[much[run]]]
+    np.bitwise_or.at(bits, (m, c // 64), np.uint64(1) << (c % 64).astype(np.uint64))
+    longest = np.bincount(m, minlength=len(order))
+    # the short ones as runs of places; an entry's own place is preceded by those of the smaller sets that hold it
+    short, of = run[~much[run]], owner[~much[run]]
+    o = np.lexsort((of, short))
+    held, short = of[o], short[o]
+    begins = np.concatenate([[0], np.cumsum(np.bincount(short, minlength=len(length)))])
+    at = np.empty(len(o), np.int64)
+    at[o] = np.arange(len(o))
+    before = at - begins[short[at]]
+    cuts = np.searchsorted(of, np.arange(len(order) + 1))
+    oldest = np.searchsorted(DEN * size, NUM * size)  # sets before are too small
+    for x in range(1, len(order)):
+        first, n = oldest[x], int(size[x])
+        if first >= x:
             continue
-        while oldest < len(done) and DEN * sizes[done[oldest]] < NUM * n:
-            oldest += 1  # too small for this and all later sets
-        # a representative of each of the last few components first: of a large group of copies most end here
-        for leader in leaders[-8:]:
-            if DEN * sizes[leader] >= NUM * n and (part is None or part[leader] != part[x]) and links.find(leader) != links.find(x):
-                if overlap(sets[leader], s) >= needed_overlap(sizes[leader], n) and links.join(leader, x):
-                    out.append((leader, x))
-        keys = s.tolist()
-        mine = links.find(x)
-        alive = len(done) - oldest
-        inside = links.size[mine] - 1
-        if alive > 0 and not (part is None and inside >= len(done)):
-            t = -(-NUM * n // DEN)
-            found = sorted(((len(lists[k]), k) for k in keys if k in lists))
-            # long lists: probing one costs a search per candidate, merging it costs its length
-            most = sum(f[0] for f in found)
-            longest = min(t - 1, len(found), int(t / (0.01 * math.log2(max(2, found[-1][0])) + 1)) if found else 0) if most > 4 * n else 0
-            short, probed = found[: len(found) - longest], found[len(found) - longest :]
-            counts: dict[int, int] = {}
-            if len(short) * 8 > sum(f[0] for f in short) or sum(f[0] for f in short) < 512:
-                last, run = -1, 0
-                for y in heapq.merge(*(lists[k] for _, k in short)):
-                    if y == last:
-                        run += 1
-                    else:
-                        if run >= t - longest and last >= 0:
-                            counts[last] = run
-                        last, run = y, 1
-                if run >= t - longest and last >= 0:
-                    counts[last] = run
-            elif short:
-                place = np.bincount(np.concatenate([np.array(lists[k], np.int64) for _, k in short]))
-                counts = {int(y): int(place[y]) for y in np.nonzero(place >= max(1, t - longest))[0]}
-            rest = np.sort(np.array([k for _, k in probed], np.uint64)) if probed else None
-            for y, have in sorted(counts.items()):
-                y = done[y]
-                m = sizes[y]
-                need = needed_overlap(n, m)
-                if DEN * m < NUM * n or have + longest < need or (part is not None and part[y] == part[x]) or links.find(y) == links.find(x):
-                    continue
-                if have + (overlap(rest, sets[y]) if rest is not None else 0) >= need and links.join(y, x):
-                    out.append((y, x))
-        if links.find(x) == x or links.size[links.find(x)] == 2:
-            leaders.append(x)
-        at = len(done)
-        done.append(x)
-        for k in keys:
-            lists.setdefault(k, []).append(at)
-    return out
+        ends, reach = at[cuts[x] : cuts[x + 1]], before[cuts[x] : cuts[x + 1]]
+        ends, reach = ends[reach > 0], reach[reach > 0]
+        total = int(reach.sum())
+        if not total and not longest[x]:
+            continue
+        place = np.repeat(ends - np.cumsum(reach), reach) + np.arange(total)
+        have = np.bincount(held[place], minlength=x)[first:x]
+        need = needed_overlap(n, size[first:x])
+        ok = have + longest[x] >= need
+        if side is not None:
+            ok &= side[first:x] != side[x]
+        y = np.nonzero(ok)[0]
+        if longest[x] and len(y):
+            y = y[have[y] + np.bitwise_count(bits[y + first] & bits[x]).sum(1, dtype=np.int64) >= need[y]]
+        if len(y):
+            yield int(order[x]), order[y + first]
+
+
+def t_occurrence(sets: list[np.ndarray], sizes: list[int] | None = None, part: list[int] | None = None) -> list[tuple[int, int]]:
+    """All links (i, j) at Jaccard NUM / DEN; arguments as for linked()."""
+    return [(y, x) for x, ys in linked(sets, sizes, part) for y in ys.tolist()]
+
+
+def count_links(sets: list[np.ndarray], sizes: list[int], copies: np.ndarray, part: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the smallest that links reach, and how many rows its links lead to (copies: rows of each set). Pairs aren't kept."""
+    label, rows = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    for x, ys in linked(sets, sizes, part):
+        rows[x] += copies[ys].sum()
+        rows[ys] += copies[x]
+        met = np.unique(np.append(label[ys], label[x]))
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+    return label, rows
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -482,38 +456,44 @@ def _blocks(sets: DataFrame, buckets: int) -> DataFrame:
     return connected_components(edges, "ngram-blocks")
 
 
-def _links(sets: DataFrame, blocks: DataFrame, block_sets: int) -> DataFrame:
-    """(a, b): links that connect all that is connected, found block by block."""
+def _links(sets: DataFrame, blocks: DataFrame, copies: DataFrame, block_sets: int) -> DataFrame:
+    """(a, b, links), block by block: edges (a, b) that connect all that is connected, and how many rows links lead to from set a (b null)."""
     sizes = blocks.groupBy("component").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("parts"))
     members = sets.join(blocks.join(sizes, "component"), F.col("k") == F.col("node")).select("k", "n", "s", F.col("component").alias("block"), "parts")
+    members = members.join(copies.select(F.col("k").alias("of"), "copies"), F.col("k") == F.col("of")).drop("of")
     part = F.pmod(F.xxhash64("k"), F.col("parts")).cast("int")
     pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(part, o).alias("i"), F.greatest(part, o).alias("j")))
     )
-    dealt = members.withColumn("p", part).withColumn("pair", F.explode(pairs)).select("block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "p", "k", "n", "s")
+    dealt = members.withColumn("p", part).withColumn("pair", F.explode(pairs)).select("block", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "p", "k", "n", "s", "copies")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, dict[int, tuple]] = {}
         for b in batches:
-            for block, i, j, p, k, n, s in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault((block, i, j), {})[k] = (p, n, s)
-        a, c = [], []
+            for block, i, j, p, k, n, s, w in zip(*(c.to_pylist() for c in b.columns)):
+                held.setdefault((block, i, j), {})[k] = (p, n, s, w)
+        a, c, links = [], [], []
         for key in sorted(held):
             group = held.pop(key)
             keys = sorted(group)
-            shared = [np.frombuffer(group[k][2], np.uint64) for k in keys]
-            ends = np.array(t_occurrence(shared, [group[k][1] for k in keys], [group[k][0] for k in keys] if key[1] != key[2] else None), np.int64).reshape(-1, 2)
-            for x, y in enumerate(roots(len(keys), ends[:, 0], ends[:, 1]).tolist()):
+            parts, sizes, shared, copies = zip(*(group[k] for k in keys))
+            label, rows = count_links([np.frombuffer(s, np.uint64) for s in shared], list(sizes), np.array(copies, np.int64), list(parts) if key[1] != key[2] else None)
+            for x, (y, r) in enumerate(zip(label.tolist(), rows.tolist())):
                 if x != y:  # to the smallest, so that few rounds join the blocks
                     a.append(keys[x])
                     c.append(keys[y])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
+                    links.append(None)
+                if r:
+                    a.append(keys[x])
+                    c.append(None)
+                    links.append(r)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, c, links)], names=["a", "b", "links"])
 
-    return dealt.repartition("block", "i", "j").mapInArrow(verify, "a long, b long")
+    return dealt.repartition("block", "i", "j").mapInArrow(verify, "a long, b long, links long")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, hot: int = HOT, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_links (how many other rows are at Jaccard NUM / DEN, equal sets included).
 
     A-Z is lower-cased; words are [^\\x20\\x09-\\x0D]+. A set holds the distinct shingles of that many words; with fewer
     words, the whole sequence is one; null, empty and blank texts have empty sets, link with nothing and keep their own
@@ -533,17 +513,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     rows = materialize(docs.mapInArrow(meta, "doc_id long, k long, n long"), "ngram-keys")
     suspects = _suspects(docs, words, buckets)
-    reps = rows.groupBy("k").agg(F.min("doc_id").alias("rep"))
+    reps = rows.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     wanted = materialize(reps.join(suspects, "k"), "ngram-wanted")
     sets = materialize(_shared_sets(docs, wanted, words, buckets, hot), "ngram-shared")
-    groups = connected_components(_links(sets, _blocks(sets, buckets), block_sets), "ngram-links")
+    found = materialize(_links(sets, _blocks(sets, buckets), wanted, block_sets), "ngram-found")
+    groups = connected_components(found.where("b is not null").select("a", "b"), "ngram-links")
+    linked_rows = found.where("b is null").groupBy(F.col("a").alias("linked")).agg(F.sum("links").alias("links"))
     # smallest id of each component: by set first, so a group of copies is one row here
-    labelled = reps.join(groups, F.col("k") == F.col("node"), "left").select("k", "rep", F.coalesce("component", "k").alias("g"))
+    labelled = reps.join(groups, F.col("k") == F.col("node"), "left").select("k", "rep", "copies", F.coalesce("component", "k").alias("g"))
     lowest = labelled.groupBy("g").agg(F.min("rep").alias("component_id"))
-    by_key = materialize(labelled.join(lowest, "g").select(F.col("k").alias("key"), "component_id"), "ngram-lowest")
+    counted = labelled.join(lowest, "g").join(linked_rows, F.col("k") == F.col("linked"), "left")
+    by_key = materialize(counted.select(F.col("k").alias("key"), "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "ngram-lowest")
     return (
         rows.join(by_key, F.col("k") == F.col("key"))
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
     )
 
 

@@ -1,12 +1,18 @@
 """Whole jobs against brute force on small tables."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from packetloom.functions.similarity import EditDistances, alignment
+from packetloom.llm import ngram_join as N
 from packetloom.plans import queries as Q
 
+from .llm.helpers import sentence
+from .llm.test_similarity import shingles, variants
+
 
 def edits(a, b):
     return sum(op != "M" for op, _, _ in alignment(a, b))
@@ -36,3 +42,35 @@ def test_page_cer_whole_scores_all_letters_of_all_texts_and_items(spark, tmp_pat
                 want.setdefault(i, []).append(1.0 if not e.strip(" ") or not t.strip(" ") else min(1.0, edits(e, t) / len(e)))
     got = {r.item_id: (r.n, r.cer) for r in Q.QUERIES["page_cer_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: (len(r), pytest.approx(sum(r) / len(r), abs=2e-6)) for i, r in want.items()}
+
+
+def near_copies(n=40):
+    """One group of near copies, all of which link, with exact copies among them, beside groups near the threshold."""
+    rows = variants(11)
+    words = sentence(random.Random(4), 80).split()
+    for i in range(n):
+        copy = list(words)
+        copy[2 * (i % 30)] = f"own{i % 30}"
+        rows.append((len(rows), " ".join(copy)))
+    return rows + [(len(rows), ""), (len(rows) + 1, None)]
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 2}, {"block_sets": 5}])
+def test_every_link_is_counted(spark, options):
+    rows = near_copies()
+    sets = {i: shingles(t) for i, t in rows}
+    want = {i: sum(j != i and bool(s) and 4 * len(s & o) >= 3 * len(s | o) for j, o in sets.items()) for i, s in sets.items()}
+    assert max(want.values()) == 39
+    assert {r.doc_id: r.n_links for r in N.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()} == want
+
+
+def test_t_occurrence_gives_all_links_once():
+    for seed in range(10):
+        texts = variants(seed, 60) + near_copies(200) if seed % 2 else variants(seed, 60)
+        ids: dict = {}
+        sets = [np.array(sorted(ids.setdefault(x, len(ids)) for x in shingles(t)), np.uint64) for _, t in texts]
+        edges = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 7 * len(np.intersect1d(sets[i], sets[j])) >= 3 * (len(sets[i]) + len(sets[j])) > 0}
+        links = [tuple(sorted(p)) for p in N.t_occurrence(sets)]
+        assert len(links) == len(set(links)) and set(links) == edges
+        part = [i % 2 for i in range(len(sets))]
+        assert {tuple(sorted(p)) for p in N.t_occurrence(sets, part=part)} == {e for e in edges if part[e[0]] != part[e[1]]}
