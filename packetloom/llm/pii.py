@@ -2,7 +2,7 @@
 
 Nodes of a document's field are its base spans (their labels are observed) and its other candidate spans: digit groups
 and address-like tokens. Neighbours in the text are linked in a chain; candidates whose normal forms repeat or nest are
-linked by skip edges, however far apart. Sum-product message passing over this loopy graph lets an observed entity
+linked by skip edges, however far apart, and each of them with the observed spans of its form. Sum-product message passing over this loopy graph lets an observed entity
 carry its label to later mentions in another form (no plus sign, other separators, "at" spelled out).
 
 Weights are trained on a bounded sample of documents (TRAIN_DOCS): the node weights by multinomial logistic regression
@@ -135,21 +135,31 @@ def train(texts: list[str], l2: float = 1e-2, steps: int = 300) -> tuple[np.ndar
     return w, agree
 
 
-def skip_edges(forms: list[str]) -> list[tuple[int, int]]:
-    """Each node with the last earlier one of its form, and with the last whose form ends in its last eight digits or has its mailbox."""
+def skip_edges(forms: list[str], kinds: list[str]) -> list[tuple[int, int]]:
+    """Each node with the last earlier one of its form, and with the last whose form ends in its last eight digits or has its mailbox.
+
+    Open nodes (kind "") are also linked with an observed one of each kind that shares a key, wherever it stands: its
+    evidence reaches every mention in one step, however many there are, and the edges stay linear in the nodes.
+    """
+    keys = [{form, "tail:" + form[-8:] if form.isdigit() and len(form) >= 8 else form, "box:" + form.partition("@")[0] if "@" in form else form} for form in forms]
+    observed: dict[str, dict[str, int]] = {}
+    for i, kind in enumerate(kinds):
+        for k in keys[i] if kind else ():
+            observed.setdefault(k, {}).setdefault(kind, i)
     last: dict[str, int] = {}
     edges = set()
-    for i, form in enumerate(forms):
-        keys = {form, "tail:" + form[-8:] if form.isdigit() and len(form) >= 8 else form, "box:" + form.partition("@")[0] if "@" in form else form}
-        for k in keys:
+    for i, kind in enumerate(kinds):
+        for k in keys[i]:
             if k in last and last[k] != i:
                 edges.add((last[k], i))
             last[k] = i
+            if not kind:
+                edges |= {(min(i, j), max(i, j)) for j in observed.get(k, {}).values()}
     return sorted(edges)
 
 
-def propagate(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]], rounds: int = ROUNDS) -> np.ndarray:
-    """Node marginals by loopy sum-product in logs. unary: nodes x labels; edges: (i, j, log potential[label i, label j])."""
+def propagate(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]], rounds: int | None = None) -> np.ndarray:
+    """Node marginals by loopy sum-product in logs, by sweeps to and fro until messages settle (at most ROUNDS more than nodes, by default). unary: nodes x labels; edges: (i, j, log potential[label i, label j])."""
     def lse(a: np.ndarray, axis: int) -> np.ndarray:
         top = np.max(a, axis=axis, keepdims=True)
         return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis))
@@ -157,9 +167,10 @@ def propagate(unary: np.ndarray, edges: list[tuple[int, int, np.ndarray]], round
     k = unary.shape[1]
     forth, back = [np.zeros(k) for _ in edges], [np.zeros(k) for _ in edges]
     belief = unary.copy()
-    for _ in range(rounds if edges else 0):
+    places = list(enumerate(edges))
+    for sweep in range((rounds or ROUNDS + len(unary)) if edges else 0):
         moved = 0.0
-        for n, (i, j, pot) in enumerate(edges):
+        for n, (i, j, pot) in places if sweep % 2 == 0 else reversed(places):
             f = lse((belief[i] - back[n])[:, None] + pot, 0)
             f = np.maximum(f - lse(f, 0), -50)
             belief[j] += f - forth[n]
@@ -186,7 +197,7 @@ def find(text: str, weights: np.ndarray, agree: float) -> tuple[list[tuple[str,
     unary = np.maximum(unary, -50)
     agreement = agree * np.eye(len(LABELS))
     chain = 0.1 * np.eye(len(LABELS))
-    edges = [(i, j, agreement) for i, j in skip_edges([normal_form(p) for p in parts])]
+    edges = [(i, j, agreement) for i, j in skip_edges([normal_form(p) for p in parts], [kind for kind, _, _ in nodes])]
     edges += [(i, i + 1, chain) for i in range(len(nodes) - 1) if nodes[i + 1][1] - nodes[i][2] < 40]
     p = propagate(unary, edges)
     more = [(LABELS[k], s, e) for (kind, s, e), row in zip(nodes, p) if not kind and (k := int(row.argmax())) and row[k] >= ACCEPT]

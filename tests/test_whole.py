@@ -8,6 +8,7 @@ import pytest
 
 from packetloom.functions.similarity import EditDistances, alignment
 from packetloom.llm import ngram_join as N
+from packetloom.llm import pii
 from packetloom.plans import queries as Q
 
 from .llm.helpers import sentence
@@ -74,3 +75,18 @@ def test_t_occurrence_gives_all_links_once():
         assert len(links) == len(set(links)) and set(links) == edges
         part = [i % 2 for i in range(len(sets))]
         assert {tuple(sorted(p)) for p in N.t_occurrence(sets, part=part)} == {e for e in edges if part[e[0]] != part[e[1]]}
+
+
+@pytest.mark.parametrize("later", [2, 5, 50])
+def test_labels_reach_every_later_mention(later):
+    weights = np.zeros((len(pii.features("")), len(pii.LABELS)))
+    weights[0, 0] = 2.0  # a bias to none
+    text = "Call +49 (151) 123-4567 now. " + ("filler words " * 8 + "49151 1234567 ") * later + "filler words " * 8 + "77777777"
+    base, every = pii.find(text, weights, 4.0)
+    assert len(base) == 1 and [text[s:e].strip() for k, s, e in every if (k, s, e) not in base] == ["49151 1234567"] * later
+
+
+def test_messages_settle_on_a_long_chain():
+    unary, pot = np.zeros((60, 2)), 6 * np.eye(2)
+    unary[-1] = 0.0, -50.0
+    assert pii.propagate(unary, [(i, i + 1, pot) for i in range(59)])[0] == pytest.approx(np.array([1, 0]) + np.tanh(3) ** 59 * 0.5 * np.array([1, -1]) + np.array([-0.5, 0.5]), abs=1e-3)
