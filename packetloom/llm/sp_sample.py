@@ -30,6 +30,8 @@ MEMO, MEMO_LETTERS = 400_000, 64
 #: Longest stretch and piece that are worked on many at a time; longer ones are worked on one by one.
 TABLE_LETTERS, TOGETHER = 20, 20_000
 PRIME = 0x9E3779B97F4A7C15
+#: So many paths of a short stretch are walked down, while they weigh LIGHT of what is left at least.
+WALK, LIGHT = 32, 1e-3
 STRETCH = re.compile(" +[^ ]*")
 NEVER = -math.inf
 
@@ -294,18 +296,89 @@ class Lattice:
                     w = unknown
                 heappush(heap, (-(done + w + total[start]), (at << 5 | end - start) & 0xFFFFFFFFFFFF, start, self.piece(start, end) + tail))
 
+    def starts(self, end: int) -> Iterator[tuple[int, float]]:
+        """Where a piece that ends at end may start, and its log weight."""
+        for start in range(max(0, end - self.vocabulary.longest), end):
+            w = self.vocabulary.weight.get(self.text[start:end])
+            if w is not None or start == end - 1:
+                yield start, self.vocabulary.unknown if w is None else w
+
     def draw_other(self, rng: np.random.Generator, excluded: dict[tuple[int, ...], float]) -> tuple[tuple[int, ...], float]:
-        """A path that isn't excluded, by its probability among those: walks down the paths until the drawn mass is reached."""
-        whole = self.remaining(excluded)
-        left, found = rng.random(), None
-        for path, log in self.paths():
-            if path not in excluded:
+        """A path that isn't excluded, by its probability among those.
+
+        Of short stretches the heavy paths are walked down first; if the drawn mass lies beyond them, as in any long
+        stretch, the path is drawn from the end backwards among all others.
+        """
+        out, found = set(excluded), None
+        if len(self.text) <= MEMO_LETTERS:
+            whole, left = self.remaining(excluded), rng.random()
+            for n, (path, log) in enumerate(self.paths()):
+                if path in excluded:
+                    continue
                 share = math.exp(log - whole)
+                if n >= WALK or share < LIGHT:
+                    break
                 found = path, log
                 left -= share
-                if left <= 0 or share < 1e-15:
-                    break
-        return found
+                if left <= 0:
+                    return found
+                out.add(path)
+        return self.draw_backwards(rng, out) or found
+
+    def draw_backwards(self, rng: np.random.Generator, excluded: Iterable[tuple[int, ...]]) -> tuple[tuple[int, ...], float] | None:
+        """A path that isn't excluded, piece by piece from the end by the exact sums; None if there is none.
+
+        The excluded paths form a tree of tails; what each node leaves to the others is summed up from its leaves, so
+        nothing is lost by subtracting.
+        """
+        if not self.logs:
+            self.total, self.logs = [math.log(t) for t in self.total], True
+        total, places, written = self.total, [len(self.text)], self.vocabulary.text
+        tree: list[dict[int, int]] = [{}]
+        for path in excluded:
+            cuts, at = [0], 0
+            while at < len(path):
+                piece = written[path[at]]
+                at += 1 if piece is not None else len(self.vocabulary.fallback(self.text[cuts[-1]]))
+                cuts.append(cuts[-1] + (len(piece) if piece is not None else 1))
+            node = 0
+            for start in reversed(cuts[:-1]):
+                if start not in tree[node]:
+                    tree[node][start] = len(tree)
+                    tree.append({})
+                    places.append(start)
+                node = tree[node][start]
+        free = [NEVER] * len(tree)
+
+        def choices(node: int | None, end: int) -> tuple[list[tuple[int, float, int | None]], list[float], float]:
+            """(start, weight, node) of each piece before end, and what lies beyond each, in logs."""
+            each = [(start, w, None if node is None else tree[node].get(start)) for start, w in self.starts(end)]
+            mass = [w + (total[start] if child is None else free[child]) for start, w, child in each]
+            high = max(mass)
+            if high == NEVER:
+                return each, mass, NEVER
+            return each, mass, high + math.log(sum(math.exp(m - high) for m in mass))
+
+        for node in range(len(tree) - 1, -1, -1):
+            if places[node]:
+                free[node] = choices(node, places[node])[2]
+        if free[0] == NEVER:
+            return None
+        node, end, log, pieces = 0, len(self.text), 0.0, []
+        while end:
+            each, mass, whole = choices(node, end)
+            left = rng.random()
+            for (start, w, child), m in zip(each, mass):
+                if m > NEVER:
+                    chosen = start, w, child
+                    left -= math.exp(m - whole)
+                    if left <= 0:
+                        break
+            start, w, node = chosen
+            pieces.append(self.piece(start, end))
+            log += w
+            end = start
+        return tuple(chain.from_iterable(reversed(pieces))), min(0.0, log - total[-1])
 
 
 class Sampler:

@@ -1,6 +1,8 @@
 """Whole jobs against brute force on small tables."""
 
+import collections
 import itertools
+import math
 import random
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 
 from packetloom.functions.similarity import EditDistances, alignment
 from packetloom.llm import ngram_join as N
-from packetloom.llm import pii
+from packetloom.llm import pii, sp_sample
 from packetloom.plans import queries as Q
 
 from .llm.helpers import sentence
@@ -90,3 +92,41 @@ def test_messages_settle_on_a_long_chain():
     unary, pot = np.zeros((60, 2)), 6 * np.eye(2)
     unary[-1] = 0.0, -50.0
     assert pii.propagate(unary, [(i, i + 1, pot) for i in range(59)])[0] == pytest.approx(np.array([1, 0]) + np.tanh(3) ** 59 * 0.5 * np.array([1, -1]) + np.array([-0.5, 0.5]), abs=1e-3)
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    with open(sp_sample.default_path(), "rb") as f:
+        return sp_sample.Vocabulary(f.read(), 0.002)
+
+
+def test_draws_of_other_paths_follow_their_probabilities(vocabulary):
+    for exclude in (1, 3, 60):
+        cell = sp_sample.Lattice(vocabulary, " ontree")
+        paths = list(cell.paths())
+        excluded, n = dict(paths[:exclude]), 6000
+        rest = {k: math.exp(v) for k, v in paths if k not in excluded}
+        for draw in (cell.draw_other, cell.draw_backwards):
+            rng = np.random.default_rng(3)
+            got = collections.Counter(draw(rng, excluded) for _ in range(n)) if rest else {}
+            assert {k for k, _ in got} <= set(rest) and all(math.exp(v) == pytest.approx(rest[k], rel=1e-6) for k, v in got)
+            counts = {k: c / n for (k, _), c in got.items()}
+            assert all(counts.get(k, 0) == pytest.approx(p / sum(rest.values()), abs=0.03) for k, p in rest.items())
+    assert cell.draw_backwards(np.random.default_rng(0), dict(paths)) is None
+
+
+def test_draws_of_a_long_stretch_without_spaces_are_draws():
+    with open(sp_sample.default_path(), "rb") as f:
+        vocabulary = sp_sample.Vocabulary(f.read(), 0.0002)
+    word, times = "tree\n", 200
+    cell = sp_sample.Lattice(vocabulary, " " + word * times)
+    draws = [cell.draw_other(np.random.default_rng(seed), {cell.best: cell.best_log}) for seed in range(40)]
+    assert cell.best_log < math.log(1e-15)
+    assert len({p for p, _ in draws}) == 40 and cell.best not in {p for p, _ in draws}
+    assert all(vocabulary.decode(p) == word * times for p, _ in draws)
+    # the mean log weight of draws is that of the lattice: entropy from the sums, by places
+    mean, total = [0.0], cell.total
+    for end in range(1, len(total)):
+        mean.append(sum(math.exp(w + total[s] - total[end]) * (mean[s] + w) for s, w in cell.starts(end)))
+    logs = [log for _, log in draws]
+    assert np.mean(logs) == pytest.approx(mean[-1] - total[-1], abs=4 * np.std(logs) / 40**0.5 + 1e-6)
