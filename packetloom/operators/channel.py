@@ -18,12 +18,13 @@ RELATIVE_EDIT, HIGH_MARGIN, HIGH_POSTERIOR = 0.45, 3.0, 0.95
 
 
 def confusion_counts(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Operation counts of (true, observed) pairs; pairs more than four edits and 60 % apart don't count."""
+    """Operation counts of (true, observed) pairs, over all rows; pairs more than four edits and 60 % apart don't count. Each distinct pair is aligned once."""
     keys = keys or []
+    pairs = pairs.groupBy(*keys, "true", "observed").agg(F.count("*").alias("_rows"))
     d = F.levenshtein("true", "observed")
     fit = pairs.where(~((d > 4) & (d / F.greatest(F.length("true"), F.length("observed"), F.lit(1)) > 0.6)))
-    ops = fit.select(*keys, F.explode(alignment_udf("true", "observed")).alias("x")).select(*keys, "x.*")
-    return ops.groupBy(*keys, "op", "true_ch", "obs_ch").agg(F.count("*").alias("n"))
+    ops = fit.select(*keys, "_rows", F.explode(alignment_udf("true", "observed")).alias("x")).select(*keys, "_rows", "x.*")
+    return ops.groupBy(*keys, "op", "true_ch", "obs_ch").agg(F.sum("_rows").alias("n"))
 
 
 def merge_counts(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -475,7 +475,7 @@ def sequence_ratio(spark, sf_dir):
 @query()
 def channel_log_probability(spark, sf_dir):
     pairs = _damaged(spark, sf_dir).withColumn("true", D.pick(V.PURPOSES, F.col("k"))).select("k", "true", F.col("raw").alias("observed"))
-    counts = {(r.op, r.true_ch, r.obs_ch): r.n for r in channel.confusion_counts(pairs.select("true", "observed").distinct()).collect()}  # letters squared at most
+    counts = {(r.op, r.true_ch, r.obs_ch): r.n for r in channel.confusion_counts(pairs.select("true", "observed")).collect()}  # letters squared at most
     return pairs.select("k", F.round(channel.channel_scores(counts)("observed", "true"), 6).alias("log_p"))
 
 

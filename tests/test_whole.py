@@ -7,8 +7,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from packetloom.functions.similarity import EditDistances, alignment
+from packetloom.functions.similarity import EditDistances, alignment, channel_log_probability
 from packetloom.llm import ngram_join as N
 from packetloom.llm import pii, sp_sample
 from packetloom.plans import queries as Q
@@ -130,3 +131,19 @@ def test_draws_of_a_long_stretch_without_spaces_are_draws():
         mean.append(sum(math.exp(w + total[s] - total[end]) * (mean[s] + w) for s, w in cell.starts(end)))
     logs = [log for _, log in draws]
     assert np.mean(logs) == pytest.approx(mean[-1] - total[-1], abs=4 * np.std(logs) / 40**0.5 + 1e-6)
+
+
+def test_channel_counts_weigh_pairs_by_their_rows(spark, tmp_path):
+    # purposes and damages recur unevenly
+    rng = random.Random(5)
+    orders = [(rng.choice([0, 0, 0, 0, 1, 2, 3]) + 1000 * 13 * i, rng.choice([0, 0, 0, 1, 2])) for i in range(200)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = Q._damaged(spark, str(tmp_path)).withColumn("true", Q.D.pick(Q.V.PURPOSES, F.col("k"))).collect()
+    counts = collections.Counter()
+    for r in rows:
+        d = edits(r.true, r.raw)
+        if not (d > 4 and d / max(len(r.true), len(r.raw), 1) > 0.6):
+            counts.update(alignment(r.true, r.raw))
+    got = {r.k: r.log_p for r in Q.QUERIES["channel_log_probability"](spark, str(tmp_path)).collect()}
+    assert got == {r.k: pytest.approx(channel_log_probability(r.raw, r.true, counts), abs=1e-6) for r in rows}
+    assert {(r.op, r.true_ch, r.obs_ch): r.n for r in Q.QUERIES["char_op_counts"](spark, str(tmp_path)).collect()} == counts
