@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,27 +13,52 @@ from pyspark.sql import functions as F
 
 #: White space of every contract in this package: space, tab, LF, VT, FF, CR.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Spark's setting that drops a query's shuffle files when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), a temporary one."""
+    """The folder that driver and executors share. Only where the session names none and is local (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="packetloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends there, a lost executor recomputes nothing before it."""
+    """Write df once to the shared folder and read it back: lineage ends there, a lost executor recomputes nothing before it.
+
+    Shuffle files of the query that fills the table go when it ends: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
-    df.write.option("compression", compression).parquet(path)
-    # shuffle files of what led here are dropped when the JVM finds their plans unreachable; left alone, that may take long
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once nothing reads them any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.written_to)
+        _written.remove((table.sparkSession, table.written_to))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release() -> None:
@@ -40,9 +66,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the JVM has gone: nothing can be deleted any more
             return
 
