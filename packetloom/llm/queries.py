@@ -38,7 +38,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sp_sample.encode(_table(spark, sf_dir, "documents"), with_ids=False)
+    return sp_sample.encode(_table(spark, sf_dir, "documents"), packed=True)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,3 +196,42 @@ def test_round_trip_and_reruns(spark, vocabulary):
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert sp_sample.encode(odd_documents(spark), with_ids=False).where("rank = 1").count() == 11
     assert sp_sample.encode(empty_documents(spark)).count() == 0
+
+
+def test_more_samples_than_paths():
+    """At the default ALPHA, whatever its weight, every path is given once, and the weights are those of brute force."""
+    with open(sp_sample.default_path(), "rb") as f:
+        vocabulary = sp_sample.Vocabulary(f.read())
+    sampler = sp_sample.Sampler(vocabulary)
+    for text in ("trees", "a\nb", "漢é", "on a"):
+        want = all_paths(vocabulary, " " + text)
+        z = math.log(sum(map(math.exp, want.values())))
+        got = sampler.sample(text, len(want) + 5, 3)
+        assert {tuple(x[0].tolist()) for x in got} == set(want) and len(got) == len(want)
+        assert all(x[1] == pytest.approx(min(0, want[tuple(x[0].tolist())] - z), rel=1e-9, abs=1e-9) and x[3] == 1 for x in got)
+
+
+def test_draws_on_a_long_stretch(vocabulary):
+    """Without a space a text is one stretch: the length of its first piece follows the exact shares."""
+    text, n = "ab" * 150, 1500
+    sampler, cell = sp_sample.Sampler(vocabulary), sp_sample.Lattice(vocabulary, " " + "ab" * 150)
+    firsts = collections.Counter(int(sampler.sample(text, 1, seed)[0][0][0]) for seed in range(n))
+    back = sp_sample.Lattice(vocabulary, " " + "ab" * 150)
+    after = [0.0] * (len(back.text) + 1)  # log sums from the other side
+    for start in range(len(back.text) - 1, -1, -1):
+        each = [vocabulary.weight[back.text[start:end]] + after[end] for end in range(start + 1, min(len(back.text), start + vocabulary.longest) + 1) if back.text[start:end] in vocabulary.weight]
+        after[start] = sp_sample.log_sum(each)
+    assert after[0] == pytest.approx(cell.total[-1], rel=1e-9)
+    for piece, seen in firsts.items():
+        written = vocabulary.text[piece]
+        assert seen / n == pytest.approx(math.exp(vocabulary.weight[written] + after[len(written)] - after[0]), abs=0.05)
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, " " * 200_000, "." * 200_000, "x\n" * 100_000])
+def test_long_texts_without_words(vocabulary, text):
+    import time
+
+    began = time.process_time()
+    (a, *_), (b, *_) = sp_sample.Sampler(vocabulary).sample(text, 2, 1)
+    assert vocabulary.decode(a.tolist()) == vocabulary.decode(b.tolist()) == text and a.tolist() != b.tolist()
+    assert time.process_time() - began < 20
