@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, materialize
 
-#: Bits of the hash that each level of the histogram resolves; five levels make the 60 bits.
+#: Bits of a hash that each level of the histogram resolves; five levels make the 60 bits.
 LEVEL_BITS = 12
 LEVELS = 5
+HASH_BITS = LEVEL_BITS * LEVELS
 #: The per-source table is broadcast up to this many rows (about 100 bytes each); beyond it, joins are shuffled.
 BROADCAST_ROWS = 50_000
 WEIGHTS = (3, 1, 2)
@@ -35,6 +36,11 @@ def row_hash(key: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
 
 
+def second_hash(text: Column, row: Column) -> Column:
+    """60 bits of a hash of a row's text and of its number as the files are read, which rereading them gives again."""
+    return F.shiftrightunsigned(F.xxhash64(text, row), 64 - HASH_BITS)
+
+
 def targets(totals: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
     """Adds target to (source, source_size): share of all sizes by weight, at most repeats times the source's size.
 
@@ -65,16 +71,21 @@ class Plan:
     """What is taken of each source: `whole` times everything, and once more below the hash `low` (and one document that closes the gap)."""
 
     def __init__(self, sized: DataFrame, weights: tuple, share: float, repeats: int):
-        """sized: source, size, hash."""
+        """sized: source, size, hash, hash2."""
         self.sized = sized
         aim = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeats)
         whole = F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
         aim = aim.withColumn("whole", whole).withColumn("gap", F.col("target") - F.col("whole") * F.col("source_size"))
-        # low: the prefix of the hash below which all is taken; gap: the words that are left after that
-        self.state = materialize(aim.select("source", "source_size", "target", "whole", "gap", F.lit(0).cast("long").alias("low")), "mix-state")
+        # low, low2: the prefixes of the hashes below which all is taken; gap: the words that are left after that
+        zero = F.lit(0).cast("long")
+        self.state = materialize(aim.select("source", "source_size", "target", "whole", "gap", zero.alias("low"), zero.alias("low2")), "mix-state")
         self.small = F.broadcast if self.state.count() <= BROADCAST_ROWS else (lambda df: df)
-        for level in range(1, LEVELS + 1):
-            self.refine(LEVEL_BITS * (LEVELS - level))
+        self.refine_all("hash", "low", sized)
+        # more than one row of the boundary hash are split by their second hash
+        edge = self.join(sized, F.col("source"), ["low"]).where("hash = mix_low and size > 0").select(*sized.columns)
+        shared = edge.groupBy("source").agg(F.count("*").alias("rows")).where("rows > 1")
+        if not shared.isEmpty():
+            self.refine_all("hash2", "low2", materialize(edge, "mix-edge"))
         self.close_gaps()
 
     def join(self, df: DataFrame, source: Column, names: list[str]) -> DataFrame:
@@ -82,32 +93,41 @@ class Plan:
         state = self.state.select(F.col("source").alias("mix_source"), *[F.col(n).alias(f"mix_{n}") for n in names])
         return df.join(self.small(state), source.eqNullSafe(F.col("mix_source")))
 
-    def refine(self, left: int) -> None:
+    def refine_all(self, name: str, low: str, rows: DataFrame) -> None:
+        for level in range(1, LEVELS + 1):
+            self.refine(name, low, rows, LEVEL_BITS * (LEVELS - level))
+
+    def refine(self, name: str, low: str, rows: DataFrame, left: int) -> None:
         """Split each source's boundary range into buckets of `left` more bits and find the one in which the budget ends."""
-        inside = self.join(self.sized, F.col("source"), ["low"]).where(F.shiftright("hash", left + LEVEL_BITS) == F.col("mix_low"))
-        sums = inside.groupBy("source", F.shiftright("hash", left).alias("bucket")).agg(F.sum("size").alias("words"))
+        inside = self.join(rows, F.col("source"), [low]).where(F.shiftright(name, left + LEVEL_BITS) == F.col(f"mix_{low}"))
+        sums = inside.groupBy("source", F.shiftright(name, left).alias("bucket")).agg(F.sum("size").alias("words"))
         upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         sums = sums.select(F.col("source").alias("s"), "bucket", F.sum("words").over(upto).alias("upto"))
-        keys = ["source", "source_size", "target", "whole", "gap", "low"]
+        keys = ["source", "source_size", "target", "whole", "gap", "low", "low2"]
         fit = self.state.join(sums, self.state["source"].eqNullSafe(F.col("s")), "left").groupBy(*keys).agg(
             F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))).alias("fits"),
             F.min(F.when(F.col("upto") > F.col("gap"), F.col("bucket"))).alias("edge"),
         )
         # without a bucket that doesn't fit, the threshold is the end of the range
-        end = F.shiftleft(F.col("low") + 1, LEVEL_BITS)
-        self.state = materialize(fit.select(*keys[:4], (F.col("gap") - F.coalesce("fits", F.lit(0))).alias("gap"), F.coalesce("edge", end).alias("low")), "mix-state")
+        end = F.shiftleft(F.col(low) + 1, LEVEL_BITS)
+        new = {k: F.col(k) for k in keys} | {"gap": F.col("gap") - F.coalesce("fits", F.lit(0)), low: F.coalesce("edge", end)}
+        self.state = materialize(fit.select(*[c.alias(k) for k, c in new.items()]), "mix-state")
+
+    def below(self, size: Column) -> Column:
+        """Whether a row joined with low and low2 lies below its source's thresholds."""
+        return (F.col("hash") < F.col("mix_low")) | ((F.col("hash") == F.col("mix_low")) & (F.col("hash2") < F.col("mix_low2")))
 
     def close_gaps(self) -> None:
-        rest = self.join(self.sized, F.col("source"), ["low", "gap"]).where("hash >= mix_low and size > 0")
-        nearest = F.min(F.struct(F.abs(F.col("size") - F.col("mix_gap")).alias("miss"), F.col("hash"), F.col("size"), F.col("mix_gap").alias("gap")))
+        rest = self.join(self.sized, F.col("source"), ["low", "low2", "gap"]).where(~self.below(F.col("size")) & (F.col("size") > 0))
+        nearest = F.min(F.struct(F.abs(F.col("size") - F.col("mix_gap")).alias("miss"), F.col("hash"), F.col("size"), F.col("hash2"), F.col("mix_gap").alias("gap")))
         closer = rest.groupBy("source").agg(nearest.alias("x")).where("x.miss < x.gap")
-        closer = closer.select(F.col("source").alias("s"), F.col("x.hash").alias("closer"), F.col("x.size").alias("closer_size"))
+        closer = closer.select(F.col("source").alias("s"), F.col("x.hash").alias("closer"), F.col("x.hash2").alias("closer2"))
         self.state = materialize(self.state.join(closer, self.state["source"].eqNullSafe(F.col("s")), "left").drop("s"), "mix-state")
 
-    def times(self, df: DataFrame, source: Column, size: Column, key_hash: Column) -> DataFrame:
-        """df with mix_source_size, mix_target and mix_times, how often each row is taken."""
-        joined = self.join(df, source, ["source_size", "target", "whole", "low", "closer", "closer_size"])
-        again = (key_hash < F.col("mix_low")) | ((key_hash == F.col("mix_closer")) & (size == F.col("mix_closer_size")))
+    def times(self, df: DataFrame, source: Column, size: Column) -> DataFrame:
+        """df (with hash and hash2) with mix_source_size, mix_target and mix_times, how often each row is taken."""
+        joined = self.join(df, source, ["source_size", "target", "whole", "low", "low2", "closer", "closer2"])
+        again = self.below(size) | ((F.col("hash") == F.col("mix_closer")) & (F.col("hash2") == F.col("mix_closer2")))
         return joined.withColumn("mix_times", F.when(size > 0, F.col("mix_whole") + F.coalesce(again, F.lit(False)).cast("long")).otherwise(0))
 
 
@@ -115,6 +135,7 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
     sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         word_count(F.col(text_col).cast("string")).alias("size"), row_hash(F.col(id_col)).alias("hash"),
+        second_hash(F.col(text_col).cast("string"), F.monotonically_increasing_id()).alias("hash2"),
     )
     return materialize(sized, "mix-sized")
 
@@ -125,18 +146,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Documents are taken whole: every one floor(target / source_size) times, and once more below the source's hash
     threshold; of the rest, the one whose size is nearest to what is still missing closes the gap, if that helps.
     Null text has size 0; a null source is a source of its own, last in order; null ids hash like the empty text; rows
-    with one id hash alike and are taken together. Other columns aren't read. An empty table gives no rows.
+    with one id, repeated whole or not, are told apart by their texts and their places in the files. Other columns aren't read. An empty table gives no rows.
     """
     sized = _sized(docs, id_col, text_col, source_col)
-    taken = Plan(sized, weights, share, repeats).times(sized, F.col("source"), F.col("size"), F.col("hash"))
+    taken = Plan(sized, weights, share, repeats).times(sized, F.col("source"), F.col("size"))
     return taken.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("size") * F.col("mix_times")).alias("taken"))
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
     """The rows of docs in the mix, each as often as it is taken, with the columns of docs. Texts aren't shuffled."""
     plan = Plan(_sized(docs, id_col, text_col, source_col), weights, share, repeats)
-    taken = plan.times(docs, docs[source_col].cast("string"), word_count(docs[text_col].cast("string")), row_hash(docs[id_col])).where("mix_times > 0")
-    return taken.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times"))).alias("mix_copy")).select(*[docs[c] for c in docs.columns])
+    # the hashes and the source of a row travel beside a struct of its own columns, so that no names clash
+    text = docs[text_col].cast("string")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"), docs[source_col].cast("string").alias("mix_of"), word_count(text).alias("mix_size"), row_hash(docs[id_col]).alias("hash"), second_hash(text, F.monotonically_increasing_id()).alias("hash2"))
+    taken = plan.times(rows, F.col("mix_of"), F.col("mix_size")).where("mix_times > 0")
+    return taken.select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times"))).alias("mix_copy")).select("mix_row.*")
 
 
 #: DuckDB SQL for op8: the same threshold by a sorted running sum.

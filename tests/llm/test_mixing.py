@@ -62,3 +62,14 @@ def test_odd_rows(spark):
     assert M.mix(docs).count() == docs.count()
     assert M.mixture(docs).columns == docs.columns
     assert M.mix(empty_documents(spark)).count() == 0 and M.mixture(empty_documents(spark)).count() == 0
+
+
+def test_rows_without_ids_are_divided(spark):
+    """300 rows of one source share a null id: what is taken comes within a document of the target."""
+    texts = [" ".join(["word"] * 10) if i % 3 else " ".join(["word", str(i)] * 5) for i in range(300)]
+    docs = spark.createDataFrame([(None, t, "a") for t in texts] + [(i, "some words", s) for i, s in enumerate("bc")], "doc_id long, text string, source string")
+    rows = M.mix(docs, share=0.5).collect()
+    a = [r for r in rows if r.size == 10]
+    assert len(a) == 300 and abs(sum(r.taken for r in a) - a[0].target) <= 10
+    assert sum(r.taken for r in M.mix(docs, share=0.5).collect()) == sum(r.taken for r in rows)
+    assert M.mixture(docs, share=0.5).count() == sum(r.taken // r.size for r in rows if r.taken)
