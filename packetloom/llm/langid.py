@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Bound of the training sample, in documents per language, and of the number of languages.
 TRAIN_PER_LANG = 1000
-MOST_LANGS = 64
+MOST_LANGS = 256
 BITS = 18
 ORDERS = 4
 SCALE = 100.0

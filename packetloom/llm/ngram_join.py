@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, drop, materialize
 
 WORDS = 5
 #: Similarity as a fraction: 75 / 100.
@@ -492,26 +492,18 @@ def _links(sets: DataFrame, blocks: DataFrame, copies: DataFrame, block_sets: in
     return dealt.repartition("block", "i", "j").mapInArrow(verify, "a long, b long, links long")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, hot: int = HOT, block_sets: int = BLOCK_SETS) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_links (how many other rows are at Jaccard NUM / DEN, equal sets included).
-
-    A-Z is lower-cased; words are [^\\x20\\x09-\\x0D]+. A set holds the distinct shingles of that many words; with fewer
-    words, the whole sequence is one; null, empty and blank texts have empty sets, link with nothing and keep their own
-    id. Rows whose doc_id is null get the smallest id of their component like others, null if it has none. Rows that
-    share a doc_id are told apart by their sets and linked through them. Texts are read whole; other columns aren't read;
-    an empty table gives no rows.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _grouped(docs: DataFrame, words: int, hot: int, block_sets: int) -> tuple[DataFrame, DataFrame]:
+    """From (doc_id, text): a row per row (doc_id, k of its set, n shingles, hash of its text), and a row per set (key, group, component_id, n_links)."""
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    meta_schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("n", pa.int64())])
+    meta_schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("text_hash", pa.int64())])
 
     def meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for b in batches:
             sets = [shingler.shingles(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64())], schema=meta_schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), b.column(2)], schema=meta_schema)
 
-    rows = materialize(docs.mapInArrow(meta, "doc_id long, k long, n long"), "ngram-keys")
+    rows = materialize(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(meta, "doc_id long, k long, n long, text_hash long"), "ngram-keys")
     suspects = _suspects(docs, words, buckets)
     reps = rows.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     wanted = materialize(reps.join(suspects, "k"), "ngram-wanted")
@@ -523,16 +515,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = reps.join(groups, F.col("k") == F.col("node"), "left").select("k", "rep", "copies", F.coalesce("component", "k").alias("g"))
     lowest = labelled.groupBy("g").agg(F.min("rep").alias("component_id"))
     counted = labelled.join(lowest, "g").join(linked_rows, F.col("k") == F.col("linked"), "left")
-    by_key = materialize(counted.select(F.col("k").alias("key"), "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "ngram-lowest")
+    by_key = materialize(counted.select(F.col("k").alias("key"), F.col("g").alias("group"), "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "ngram-lowest")
+    drop(sets, found)
+    return rows, by_key
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, hot: int = HOT, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_links (how many other rows are at Jaccard NUM / DEN, equal sets included).
+
+    A-Z is lower-cased; words are [^\\x20\\x09-\\x0D]+. A set holds the distinct shingles of that many words; with fewer
+    words, the whole sequence is one; null, empty and blank texts have empty sets, link with nothing and keep their own
+    id. Rows whose doc_id is null get the smallest id of their component like others, null if it has none. Rows that
+    share a doc_id are told apart by their sets and linked through them. Texts are read whole; other columns aren't read;
+    an empty table gives no rows.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows, by_key = _grouped(docs, words, hot, block_sets)
     return (
         rows.join(by_key, F.col("k") == F.col("key"))
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n") == 0, 0).otherwise(F.col("n_links")).cast("long").alias("n_links"))
     )
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stand for their group: those whose doc_id is its component_id (null ids, linked with nothing smaller, stay); repeated rows once."""
-    stay = jaccard_components(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay_id")).distinct()
+def keep_first(docs: DataFrame, words: int = WORDS, hot: int = HOT, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """One row of docs for each group: the one with the smallest doc_id (null ids last; of rows that share an id, the one with the smallest hash of its text).
+
+    Rows without words are groups of their own, as often as they are repeated; of other rows that are repeated whole one stays.
+    """
     columns = docs.columns
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("stay_id"))).select(*[docs[c] for c in columns])
-    return kept
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, by_key = _grouped(own, words, hot, block_sets)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("x")
+    worded = rows.where("n > 0").join(by_key, F.col("k") == F.col("key")).groupBy("group").agg(first).select(F.col("x.doc_id").alias("stay_id"), F.col("x.text_hash").alias("stay_hash"))
+    blank = rows.where("n = 0").select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("stay_id")) & (F.col("text_hash") == F.col("stay_hash"))
+    repeats = worded.join(rows.groupBy("doc_id", "text_hash").count().where("count > 1"), same, "left_semi").withColumn("often", F.lit(True))
+    stay = worded.unionByName(blank).distinct().join(repeats.select(F.col("stay_id").alias("r_id"), F.col("stay_hash").alias("r_hash"), "often"), F.col("stay_id").eqNullSafe(F.col("r_id")) & (F.col("stay_hash") == F.col("r_hash")), "left")
+    stay = materialize(stay.select("stay_id", "stay_hash", F.coalesce("often", F.lit(False)).alias("often")), "ngram-stay")
+    hashed = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("text_hash"))
+    kept = hashed.join(stay, same)
+    if stay.where("often").isEmpty():
+        return kept.select("row.*")
+    once = kept.where("often").groupBy("stay_id", "stay_hash").agg(F.first("row").alias("row"))
+    return kept.where("not often").select("row.*").unionByName(once.select("row.*"))

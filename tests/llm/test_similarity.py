@@ -217,3 +217,14 @@ def test_pipeline_stages(spark, sf):
     words = sum(len((r.text or "").split()) for r in seen[3][1].collect())
     assert sum(len(r.text.split()) for r in seen[3][2].collect()) == pytest.approx(1.5 * words, rel=0.25)
     assert {r.doc_id for r in docs.select("doc_id").collect()} == {r.doc_id for r in seen[3][2].select("doc_id").collect()}
+
+
+def test_keep_first_of_repeated_rows(spark):
+    rng = random.Random(2)
+    a, b = sentence(rng, 30), sentence(rng, 30)
+    near = a + " more"
+    rows = [(1, a), (1, a), (1, near), (2, a), (7, b), (7, sentence(rng, 30)), (None, a), (None, b + " x y"), (None, None), (None, None), (None, sentence(rng, 9))]
+    got = collections.Counter((r.doc_id, r.text) for r in N.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(got[1, t] for t in (a, near)) == 1 and (2, a) not in got and (None, a) not in got
+    assert got[7, b] == 1 and got[rows[5]] == 1 and (None, b + " x y") not in got
+    assert got[None, None] == 2 and got[rows[10]] == 1 and sum(got.values()) == 6
