@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,12 +41,9 @@ MARKED = re.compile(
     re.I,
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|canvas|head)\b(?P<rawend>[^>]*)>"
-    r"|<(?P<close>/)?(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
-)
+RAW = re.compile(r"<(script|style|noscript|template|svg|iframe|textarea|canvas|head)\b([^>]*+)>", re.I)
+TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+REST = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">]++)*+>")
 SPACES = re.compile(r"\s+")
 LINK_DENSITY = 0.4
 STOP_LOW, STOP_HIGH = 0.12, 0.25
@@ -138,34 +136,86 @@ class _Cutter:
                 return  # an inline end tag doesn't end the block around it
 
 
+class _Ends:
+    """Where things end from a place on; what was once looked for in vain isn't looked for again, so any page takes linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.missing, self.next = page, set(), {}
+        self.marks: list[int] | None = None
+
+    def find(self, what: str, at: int) -> int:
+        """The first place of a string from at on (which never goes back), or -1."""
+        found = self.next.get(what, 0)
+        if 0 <= found < at or what not in self.next:
+            found = self.next[what] = self.page.find(what, at)
+        return found
+
+    def end_tag(self, name: str, at: int) -> int:
+        """The end of the end tag of name (for head, the start of body will do), or -1."""
+        if name in self.missing:
+            return -1
+        found = re.compile(rf"</{name}\s*+>" + (r"|(?=<body\b)" if name == "head" else ""), re.I).search(self.page, at)
+        if found is None:
+            self.missing.add(name)
+            return -1
+        return found.end()
+
+    def tag(self, at: int) -> int:
+        """The place after the > that ends a tag whose name ends at `at` (none inside quotes counts), or -1."""
+        if self.marks is None:
+            if found := REST.match(self.page, at):
+                return found.end()
+            # a tag that never ends: from here on, the ends are told from the last mark backwards
+            marks = [(m.start(), m[0]) for m in re.finditer("[\"'>]", self.page)]
+            self.marks, self.after, following = [m[0] for m in marks], [-1] * (len(marks) + 1), {}
+            for i in range(len(marks) - 1, -1, -1):
+                place, mark = marks[i]
+                if mark == ">":
+                    self.after[i] = place + 1
+                else:
+                    self.after[i] = self.after[following[mark] + 1] if mark in following else -1
+                    following[mark] = i
+        return self.after[bisect_left(self.marks, at)]
+
+
 def cut(page: str) -> list[Block]:
     """The non-empty blocks of a page in order."""
-    c, at, end = _Cutter(), 0, len(page)
-    while at < end:
-        m = TOKEN.search(page, at)
-        if m is None:
-            tail = page[at:]
-            cut_off = re.search(r"<[/A-Za-z!][^<]*\Z", tail)  # a tag that the page's end cut short
-            c.text(tail[: cut_off.start()] if cut_off else tail)
-            break
-        c.text(page[at : m.start()])
-        at = m.end()
-        if m["raw"]:
-            name = m["raw"].lower()
+    c, ends, at, begun = _Cutter(), _Ends(page), 0, 0
+    while (at := page.find("<", at)) >= 0:
+        mark = page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            over = ends.find("-->", at + 4)
+            after = over + 3 if over >= 0 else len(page)
+        elif mark in ("!", "?"):
+            after = ends.find(">", at + 2) + 1
+        elif (raw := RAW.match(page, at) if ends.find(">", at) >= 0 else None) or (m := TAG.match(page, at)):
+            after = raw.end() if raw else ends.tag(m.end())
+        else:
+            after = 0
+        if after <= 0:
+            at += 1
+            continue
+        c.text(page[begun:at])
+        if raw if mark not in ("!", "?") else None:
+            name = raw[1].lower()
             if name in BLOCK:
                 c.flush()
-            if not m["rawend"].endswith("/"):
-                over = re.compile(rf"</{name}\s*>" + (r"|(?=<body\b)" if name == "head" else ""), re.I).search(page, at)
-                at = over.end() if over else (at if name in ("noscript", "template", "svg", "head") else end)
-        elif m["tag"]:
-            tag = m["tag"].lower()
-            if m["close"]:
+            if not raw[2].endswith("/"):
+                over = ends.end_tag(name, after)
+                after = over if over >= 0 else (after if name in ("noscript", "template", "svg", "head") else len(page))
+        elif mark not in ("!", "?"):
+            tag = m[2].lower()
+            if m[1]:
                 c.close(tag)
             elif tag in SILENT:
-                over = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = over.end() if over else at
+                over = ends.end_tag(tag, after)
+                after = over if over >= 0 else after
             else:
-                c.open(tag, m["rest"])
+                c.open(tag, page[m.end() : after - 1])
+        at = begun = after
+    tail = page[begun:]
+    cut_off = re.search(r"<[/A-Za-z!][^<]*\Z", tail)  # a tag that the page's end cut short
+    c.text(tail[: cut_off.start()] if cut_off else tail)
     c.flush()
     return c.blocks
 

@@ -28,16 +28,32 @@ TRAIN_DOCS = 2000
 ROUNDS = 10
 ACCEPT = 0.5
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: What stands before the sign of an address, and after it; matches are found from the sign, so that long runs take linear time.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # A match begins where a run of digits begins (one that began inside it would fail or succeed alike), which keeps long runs linear.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 NUMBER_LIKE = re.compile(r"\+?\(?[0-9](?:[0-9]|[ ().-]{1,2}(?=[0-9(]))*")
-ADDRESS_LIKE = re.compile(r"[A-Za-z0-9._%+-]+(?: ?[\[(](?:at|AT)[\])] ?|@)[A-Za-z0-9.-]*[A-Za-z0-9]")
+AT = re.compile("@")
+AT_SPELLED = re.compile(r" ?[\[(](?:at|AT)[\])] ?|@")
+DOMAIN_LIKE = re.compile(r"[A-Za-z0-9.-]*[A-Za-z0-9]")
 DIGIT = re.compile("[0-9]")
 
 
+def addresses(text: str, sign: re.Pattern, domain: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping spans of LOCAL letters, sign and domain."""
+    end = 0
+    for m in sign.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if end <= start < m.start() and (found := domain.match(text, m.end())):
+            end = found.end()
+            yield start, end
+
+
 def luhn(digits: str) -> bool:
     total = sum(map(int, digits[-1::-2]))
     for d in digits[-2::-2]:
@@ -49,7 +65,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start."""
     found = []
     if "@" in text:
-        found += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        found += [("email", *x) for x in addresses(text, AT, DOMAIN)]
     if DIGIT.search(text):
         for m in IP.finditer(text):
             if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
@@ -85,7 +101,7 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         out += [("", *m.span()) for m in NUMBER_LIKE.finditer(text) if m.end() - m.start() >= 7 and sum(c.isdigit() for c in m[0]) >= 7 and free(*m.span())]
     if "@" in text or "at)" in text or "at]" in text or "AT" in text:
         held = {s for _, s, _ in out}
-        out += [("", *m.span()) for m in ADDRESS_LIKE.finditer(text) if m.start() not in held and free(*m.span())]
+        out += [("", *x) for x in addresses(text, AT_SPELLED, DOMAIN_LIKE) if x[0] not in held and free(*x)]
     return out
 
 
@@ -220,7 +236,7 @@ def mask(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
-    """One row per row of docs: doc_id, counts of base spans by kind, base_sha256, spans, masked_text.
+    """One row per row of docs: doc_id, counts of base spans by kind, base_sha256, spans, masked_text, n_spans (all of them).
 
     Null text counts as empty (null ids are kept); whole texts of any length are read; repeated rows are worked on each;
     other columns aren't read; an empty table gives no rows. The field is trained on at most train_docs documents,
@@ -231,8 +247,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     sample = docs.where(hashed < int(1_000_000 * min(1.0, share)) + 1).where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     weights, agree = train([r.text for r in sample.select("text").toLocalIterator()])
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked_text"]
-    types = [pa.int64()] * 5 + [pa.string()] * 3
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "masked_text", "n_spans"]
+    types = [pa.int64()] * 5 + [pa.string()] * 3 + [pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,8 +256,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 base, every = find(text or "", weights, agree)
                 n = [sum(k == x[0] for x in base) for k in KINDS]
-                rows.append((i, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), mask(text or "", every)))
+                rows.append((i, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), mask(text or "", every), len(every)))
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked_text string")
+    return docs.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, masked_text string, n_spans long")

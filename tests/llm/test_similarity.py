@@ -228,3 +228,35 @@ def test_keep_first_of_repeated_rows(spark):
     assert sum(got[1, t] for t in (a, near)) == 1 and (2, a) not in got and (None, a) not in got
     assert got[7, b] == 1 and got[rows[5]] == 1 and (None, b + " x y") not in got
     assert got[None, None] == 2 and got[rows[10]] == 1 and sum(got.values()) == 6
+
+
+@pytest.mark.parametrize("page", ['<a "' * 250_000, "<" * 1_000_000, "<select>" * 120_000, "<svg>" * 200_000, "<!--" * 250_000, "<a \"'" * 200_000, "<script" * 150_000, "<" * 500_000 + ">", "<?x" * 300_000])
+def test_pages_in_linear_time(page):
+    import time
+
+    began = time.process_time()
+    H.main_text(page)
+    assert time.process_time() - began < 5
+
+
+def test_tag_ends_are_those_of_the_pattern():
+    """Quotes hide a tag's end; a quote that never closes makes text of the tag."""
+    whole = re.compile(r"<a(?:\"[^\"]*\"|'[^']*'|[^'\">])*>")
+    rng = random.Random(4)
+    for _ in range(5000):
+        page = "".join(rng.choice(["<a ", '"', "'", ">", "x"]) for _ in range(rng.randrange(1, 20)))
+        ends, want, got, at = H._Ends(page), [m.span() for m in whole.finditer(page)], [], 0
+        while (at := page.find("<", at)) >= 0:
+            end = ends.tag(at + 2)
+            if end > 0:
+                got.append((at, end))
+            at = end if end > 0 else at + 1
+        assert got == want
+
+
+def test_lines_of_repeated_rows(spark):
+    rows = [(None, "a b c d\nx y z"), (None, "a b c d\nx y z"), (None, "q r s t\na b c d"), (5, "a b c d\n\nother line of words"), (5, "a b c d\n\nother line of words")]
+    got = collections.Counter((r.doc_id, r.n_lines, r.removed) for r in L.removed_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert got == {(None, 2, ""): 1, (None, 2, "1,2"): 1, (None, 2, "2"): 1, (5, 3, "1"): 1, (5, 3, "1,3"): 1}
+    kept = collections.Counter(r.text for r in L.without_matches(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert kept == {"a b c d\nx y z": 1, "": 2, "q r s t": 1, "\nother line of words": 1}

@@ -235,3 +235,25 @@ def test_long_texts_without_words(vocabulary, text):
     (a, *_), (b, *_) = sp_sample.Sampler(vocabulary).sample(text, 2, 1)
     assert vocabulary.decode(a.tolist()) == vocabulary.decode(b.tolist()) == text and a.tolist() != b.tolist()
     assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "a" * 1_000_000 + "@", "a@" + "." * 1_000_000, "1" * 1_000_000, "+1(" * 300_000, "1." * 500_000, "@" * 1_000_000, "x (at" * 150_000])
+def test_pii_in_linear_time(text):
+    import time
+
+    weights, agree = pii.train(["write to a@b.cd or call +1 234 567 8901"])
+    began = time.process_time()
+    pii.find(text, weights, agree)
+    assert time.process_time() - began < 5
+
+
+def test_addresses_are_those_of_the_pattern():
+    import random
+    import re
+
+    plain, spelled = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[A-Za-z0-9._%+-]+(?: ?[\[(](?:at|AT)[\])] ?|@)[A-Za-z0-9.-]*[A-Za-z0-9]")
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice(["a", ".", "@", "@", "_", "-", "1", " ", "(at)", "[at]", " (AT) ", "b.c", "é"]) for _ in range(rng.randrange(1, 16)))
+        assert [m.span() for m in plain.finditer(text)] == list(pii.addresses(text, pii.AT, pii.DOMAIN))
+        assert [m.span() for m in spelled.finditer(text)] == list(pii.addresses(text, pii.AT_SPELLED, pii.DOMAIN_LIKE))
