@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import drop, materialize
 
-SKETCH_BITS = 20
+SKETCH_BITS = 18
 BROADCAST_ROWS = 200_000
 #: Bits of a word's hash below the 7 bits of its class.
 HASH_BITS = 56
@@ -180,13 +180,14 @@ def _beaten(docs: DataFrame, firsts: DataFrame, pairs: DataFrame, classes: str)
     where_docs = asked.select(F.col("first_doc").alias("d")).distinct()
     some = docs.join(narrow(where_docs), docs["doc_id"].eqNullSafe(F.col("d")), "left_semi")
     here = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line")) & F.col("row_key").eqNullSafe(F.col("first_key"))
-    found = _lines(some).join(narrow(asked), here)
-    whole = materialize(found.select("sid", "place", ordered_set(F.col("line"), classes).alias("words")).dropDuplicates(["sid"]), "line-whole")
+    # the table of classes is in the plans of two queries without shuffles only: plans are logged anew at each of their stages
+    found = materialize(_lines(some).join(narrow(asked), here).select("sid", "place", "line").dropDuplicates(["sid"]), "line-found")
+    whole = materialize(found.select("sid", "place", ordered_set(F.col("line"), classes).alias("words")), "line-whole")
     left = whole.select(F.col("sid").alias("a"), F.col("place").alias("place_a"), F.col("words").alias("words_a"))
     right = whole.select(F.col("sid").alias("b"), F.col("place").alias("place_b"), F.col("words").alias("words_b"))
     both = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("words_a", "words_b")) >= needed(F.size("words_a"), F.size("words_b")))
     beaten = materialize(both.select(F.when(F.col("place_a") > F.col("place_b"), F.col("a")).otherwise(F.col("b")).alias("beaten_sid")).distinct(), "line-beaten")
-    drop(asked, whole)
+    drop(asked, found, whole)
     return beaten
 
 
