@@ -34,11 +34,11 @@ from pyspark.sql import functions as F
 ALPHA = 0.004
 SAMPLES = 2
 #: Stretches that a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 #: Longest stretch that is worked on with others, and the cells of their tables; longer ones are worked on one by one.
 TABLE_LETTERS, CELLS = 40, 1 << 21
 #: Letters of texts that are worked on together.
-BATCH_LETTERS = 3 << 20
+BATCH_LETTERS = 3 << 19
 #: Stretches of up to so many letters are summed in logs if a share of theirs is below TINY.
 LOG_LETTERS = 256
 #: Weights below this may underflow on the way: such stretches are worked on one by one.
@@ -46,7 +46,7 @@ TINY = 1e-250
 SCALE = 1e100
 PRIME = 0x9E3779B97F4A7C15
 #: Slots of the table of beginnings of pieces: several times as many as a vocabulary has.
-SLOTS, SLOT_SHIFT = 1 << 20, 44
+SLOTS, SLOT_SHIFT = 1 << 18, 46
 STRETCH = re.compile(" +[^ ]*")
 NEVER = -math.inf
 
@@ -86,13 +86,6 @@ class Vocabulary:
             self.weight[text] = alpha * max(sp.get_score(i), floor)
         self.unknown = alpha * floor
         self.unknown_share = math.exp(self.unknown)
-        # a node is [children by letter, the weight's exponential if a piece ends here, else 0; its log]
-        self.trie: list = [{}, 0.0, 0.0]
-        for text, w in self.weight.items():
-            node = self.trie
-            for letter in text:
-                node = node[0].setdefault(letter, [{}, 0.0, 0.0])
-            node[1:] = math.exp(w), w
         self.longest = max(map(len, self.ids), default=1)
         self.unknown_id = sp.unk_id()
         # for many stretches at once: every beginning of a piece by a hash of its letters, sorted; share 0 if it's no piece itself
@@ -103,21 +96,23 @@ class Vocabulary:
                 h = (h * PRIME + ord(letter) + 1) & 0xFFFFFFFFFFFFFFFF
                 part = text[:size]
                 table[h] = size, math.exp(self.weight[part]) if part in self.ids else 0.0, self.ids.get(part, -1)
+        if 2 * len(table) > SLOTS:
+            raise ValueError("more beginnings of pieces than SLOTS are meant for")
         # open addressing: the leading bits of a multiple of the hash tell the slot, the next free one holds it
         self.slots = np.zeros(SLOTS, np.uint64)
-        self.lengths, self.shares, self.numbers = np.zeros(SLOTS, np.int64), np.zeros(SLOTS), np.zeros(SLOTS, np.int64)
+        self.lengths, self.shares, self.numbers = np.zeros(SLOTS, np.int8), np.zeros(SLOTS), np.zeros(SLOTS, np.int32)
         for h, (size, share, number) in table.items():
             at = (h * PRIME & 0xFFFFFFFFFFFFFFFF) >> SLOT_SHIFT
             while self.slots[at]:
                 at = (at + 1) % SLOTS
             self.slots[at], self.lengths[at], self.shares[at], self.numbers[at] = h, size, share, number
-        # pieces from their last letter: [children by letter, log weight or None]
-        self.back: list = [{}, None]
+        # pieces from their last letter: [children by letter, log weight or None, its exponential]
+        self.back: list = [{}, None, 0.0]
         for text, w in self.weight.items():
             node = self.back
             for letter in reversed(text):
-                node = node[0].setdefault(letter, [{}, None])
-            node[1] = w
+                node = node[0].setdefault(letter, [{}, None, 0.0])
+            node[1:] = w, math.exp(w)
         written = [bytes([self.byte_of[i]]) if i in self.byte_of else (self.text[i] or "").encode("utf-8", "surrogatepass") for i in range(n)]
         self.byte_sizes = np.array([len(x) for x in written])
         self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
@@ -332,46 +327,37 @@ class Lattice:
 
         None if a share below TINY might be lost and the stretch is short enough for logs.
         """
-        text, top, unknown, unknown_log, longest = self.text, self.vocabulary.trie[0], self.vocabulary.unknown_share, self.vocabulary.unknown, self.vocabulary.longest
-        others, best, logs = array("d", bytes(8 * (n + 1))), array("d", bytes(8 * (n + 1))), array("d", [0.0]) + array("d", [NEVER]) * n
+        text, top, unknown, unknown_log, longest = self.text, self.vocabulary.back, self.vocabulary.unknown_share, self.vocabulary.unknown, self.vocabulary.longest
+        others, best, logs = array("d", bytes(8 * (n + 1))), array("d", bytes(8 * (n + 1))), array("d", [0.0]) + array("d", bytes(8 * n))
         best[0], shift = 1.0, 0.0
-        for start in range(n):
-            o, b, log = others[start], best[start], logs[start]
+        self.others[0] = NEVER
+        for end in range(1, n + 1):
+            o = b = 0.0
+            log, at, start, node = NEVER, 0, end, top
+            while True:
+                node = node[0].get(text[start - 1]) if start and node else None
+                if node is None and start < end:
+                    break
+                start -= 1
+                w, share = (node[1], node[2]) if node is not None and node[1] is not None else (unknown_log, unknown) if start == end - 1 else (None, 0.0)
+                if w is None:
+                    continue
+                if (after := logs[start] + w) >= log:  # of equal ones, that of the earliest start
+                    o += others[start] * share + b
+                    b, log, at = best[start] * share, after, start
+                else:
+                    o += (others[start] + best[start]) * share
+            if 0 < o < TINY and n <= LOG_LETTERS:
+                return None
             if not 1 / SCALE < o + b < SCALE:
                 factor = 1 / (o + b)
                 shift -= math.log(factor)
-                for i in range(start, min(n, start + longest) + 1):
+                o, b = o * factor, b * factor
+                for i in range(max(0, end - longest), end):
                     others[i] *= factor
                     best[i] *= factor
-                o, b = others[start], best[start]
-            if 0 < o < TINY and n <= LOG_LETTERS:
-                return None
-            self.total[start], self.others[start] = math.log(o + b) + shift, math.log(o) + shift if o else NEVER
-            children, end, single = top, start, True
-            for at in range(start, min(n, start + longest)):
-                node = children.get(text[at])
-                if node is None:
-                    break
-                end += 1
-                children, w, after_w = node
-                if w:
-                    if end == start + 1:
-                        single = False
-                    if (after := log + after_w) > logs[end]:
-                        others[end] += o * w + best[end]
-                        best[end], logs[end], self.last[end] = b * w, after, start
-                    else:
-                        others[end] += (o + b) * w
-            if single:
-                end = start + 1
-                if (after := log + unknown_log) > logs[end]:
-                    others[end] += o * unknown + best[end]
-                    best[end], logs[end], self.last[end] = b * unknown, after, start
-                else:
-                    others[end] += (o + b) * unknown
-        if 0 < others[n] < TINY and n <= LOG_LETTERS:
-            return None
-        self.total[n], self.others[n] = math.log(others[n] + best[n]) + shift, math.log(others[n]) + shift if others[n] else NEVER
+            others[end], best[end], logs[end], self.last[end] = o, b, log, at
+            self.total[end], self.others[end] = math.log(o + b) + shift, math.log(o) + shift if o else NEVER
         return logs[n]
 
     def piece(self, start: int, end: int) -> tuple[int, ...]:
@@ -780,6 +766,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     arrays.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32), np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
                 done = ahead
+        sampler.forget()  # the worker lives on
 
     ddl = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean" + ((", ids binary" if packed else ", ids array<int>") if with_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
