@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
+from .metrics import points
+from .ranking import rows_where
 
 
 def sponsor_policy(df: DataFrame, keys: list[str] | None = None, least_clean: int = 3, least_causal: int = 3, public: tuple[str, ...] = V.PUBLIC_REVOKED) -> DataFrame:
@@ -92,3 +94,31 @@ def impute_missing(df: DataFrame, field: str, train: DataFrame | None, features:
     lost = IndexToString(inputCol="_k", outputCol="_v", labels=index.labels).transform(model.transform(assembler.transform(df.where(missing_for_imputer(F.col(field))))))
     filled = lost.withColumn(field, F.col("_v")).select(*df.columns)
     return df.where(~missing_for_imputer(F.col(field))).unionByName(filled)
+
+
+def fit_gate(df: DataFrame, features: list[str], base: str, engine: str, truth: str, reg: float = 0.05):
+    """A weighted logistic model on rows where base and engine differ in points: is base the better one, weighted by how much.
+
+    Returns a function that adds gate_p (null without a model: fewer than two outcomes) to rows with the features.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    gain = points(F.col(truth), F.col(base)) - points(F.col(truth), F.col(engine))
+    rows = rows_where(df, (F.col(base) != F.col(engine)) & (gain != 0), *map(F.col, features), (gain > 0).cast("double").alias("label"), F.abs(gain).cast("double").alias("weight"))
+    outcomes = rows.agg(F.countDistinct("label")).first()[0]
+    if outcomes < 2:
+        return lambda new: new.withColumn("gate_p", F.lit(None).cast("double"))
+    steps = [VectorAssembler(inputCols=features, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_x", withMean=True), LogisticRegression(featuresCol="_x", weightCol="weight", regParam=reg, maxIter=50, predictionCol="_y", probabilityCol="_p", rawPredictionCol="_z")]
+    model = Pipeline(stages=steps).fit(rows)
+    return lambda new: model.transform(new).withColumn("gate_p", vector_to_array("_p")[1]).drop("_raw", "_x", "_y", "_p", "_z")
+
+
+def gate_threshold(scored: DataFrame, base: str, engine: str, truth: str, thresholds: tuple[float, ...] = (0.35, 0.45, 0.55, 0.65, 0.75, 0.85)) -> float:
+    """The threshold on gate_p with the most points, then the fewest false approvals, then the highest: one pass for all."""
+    act = lambda t: F.when((F.col(base) != F.col(engine)) & (F.coalesce("gate_p", F.lit(0.0)) < t), F.col(engine)).otherwise(F.col(base))
+    sums = [x for i, t in enumerate(thresholds) for x in (F.sum(points(F.col(truth), act(t))).alias(f"p{i}"), F.count_if((F.col(truth) == "DENIED") & (act(t) == "APPROVED")).alias(f"f{i}"))]
+    got = scored.agg(*sums).first()
+    return max(thresholds, key=lambda t: (got[f"p{thresholds.index(t)}"] or 0, -(got[f"f{thresholds.index(t)}"] or 0), t))

@@ -66,3 +66,31 @@ def agreed_by_all(df: DataFrame, keys: list[str], value: str, voter: str) -> Dat
 def first_decisive(df: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
     """The non-null value of the row that comes first."""
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.min_by(value, order).alias(value))
+
+
+def latest_open(df: DataFrame, keys: list[str], value: str, order: str, crossed: str) -> DataFrame:
+    """Per key the latest value that isn't crossed out, else the latest: partial aggregates, ties to the greater value. Null crossed counts as not."""
+    last = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+    found = df.groupBy(*keys).agg(F.max(F.when(~F.coalesce(F.col(crossed), F.lit(False)), last)).alias("open"), F.max(last).alias("any"))
+    return found.select(*keys, F.coalesce("open", "any")["v"].alias(value))
+
+
+def top(df: DataFrame, score: str, tie: str, n: int = 15) -> DataFrame:
+    """The n rows with the highest score, ties by the smaller tie: each task keeps n."""
+    return df.orderBy(F.col(score).desc(), F.col(tie)).limit(n)
+
+
+def ordered_distinct(*lists: Column) -> Column:
+    """The values of lists in the order in which they first stand."""
+    return F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]))
+
+
+def unique_value(values: Column) -> Column:
+    """The only value of a list, repeats aside; null if there are several or none."""
+    held = F.array_distinct(F.array_compact(values))
+    return F.when(F.size(held) == 1, held[0])
+
+
+def rows_where(df: DataFrame, condition: Column, *columns: Column) -> DataFrame:
+    """df.where(condition).select(columns), for conditions nested so deep that inferring further filters from them takes minutes: a row is exploded or isn't."""
+    return df.select(F.explode(F.when(condition, F.array(F.struct(*columns)))).alias("_x")).select("_x.*")

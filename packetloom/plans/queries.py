@@ -664,3 +664,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def packet_pipeline(spark, sf_dir):
     return flagship(spark, sf_dir)
+
+
+from . import evidence_queries  # noqa: E402, F401 (registers its queries)
