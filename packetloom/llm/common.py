@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -74,6 +77,14 @@ def release() -> None:
 atexit.register(release)
 
 
+def give_back() -> None:
+    """At the end of a task that held much: return freed memory to the system. Python workers live on, beside those of the next stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not a GNU system
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the smallest node reachable.
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 #: Bound of the training sample, in documents per language, and of the number of languages.
 TRAIN_PER_LANG = 1000
 MOST_LANGS = 256
@@ -210,6 +212,8 @@ def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id"
                 score += s
                 at = end
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+        del grams
+        give_back()
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
@@ -229,5 +233,7 @@ def keep_identified(docs: DataFrame, model: Model | None = None, least: float =
                 p, s = sent.value.predict(grams, texts[i : i + 256])
                 keep += [x != UNKNOWN and y >= least for x, y in zip(p, s)]
             yield b.filter(pa.array(keep, pa.bool_()))
+        del grams
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

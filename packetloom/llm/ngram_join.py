@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, materialize
+from .common import connected_components, drop, give_back, materialize
 
 WORDS = 5
 #: Similarity as a fraction: 75 / 100.
@@ -271,6 +271,7 @@ def _suspects(docs: DataFrame, words: int, buckets: int) -> DataFrame:
                     yield from flush()
                     size = 0
         yield from flush()
+        give_back()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in _by_bucket(batches):
@@ -335,6 +336,7 @@ def _shared_sets(docs: DataFrame, wanted: DataFrame, words: int, buckets: int, h
                         yield from flush()
                         size = 0
         yield from flush()
+        give_back()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in _by_bucket(batches):
@@ -405,6 +407,7 @@ def _shared_sets(docs: DataFrame, wanted: DataFrame, words: int, buckets: int, h
                     rows, size = [], 0
         if rows:
             yield _rows(rows, _SETS)
+        give_back()
 
     return chosen.mapInArrow(whole, _KEYED_DDL).repartition(buckets, "bucket").mapInArrow(counted, _PACKED_DDL).repartition(buckets, "dest").mapInArrow(gathered, _SETS_DDL)
 

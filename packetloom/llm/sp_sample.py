@@ -31,10 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 ALPHA = 0.004
 SAMPLES = 2
 #: Stretches that a worker remembers.
-MEMO = 200_000
+MEMO = 300_000
 #: Longest stretch that is worked on with others, and the cells of their tables; longer ones are worked on one by one.
 TABLE_LETTERS, CELLS = 40, 1 << 21
 #: Letters of texts that are worked on together.
@@ -766,7 +768,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                     arrays.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32), np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
                 done = ahead
-        sampler.forget()  # the worker lives on
+        sampler.forget()
+        give_back()
 
     ddl = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean" + ((", ids binary" if packed else ", ids array<int>") if with_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
