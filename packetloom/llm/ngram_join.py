@@ -37,29 +37,18 @@ BLOCK_SETS = 4096
 #: Lists that more than one in LONG sets of a block are on are probed, not merged.
 LONG = 16
 BROADCAST_IDS = 1 << 20
-MEMO = 1_000_000
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS)], dtype=np.uint64)
 
 
 class Shingler:
-    """Shingle sets of texts; remembers the hashes of words."""
+    """Shingle sets of texts. Words are hashed as they come: a memo of hashes takes longer than hashing, and memory."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
+        self.words = words
 
     def word_hashes(self, text: bytes) -> np.ndarray:
-        known, out = self.known, []
-        words = text.lower().split()  # on bytes: A-Z and ASCII white space only
-        try:
-            out = [known[w] for w in words]
-        except KeyError:
-            if len(known) > MEMO:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            out = [known[w] for w in words]
-        return np.array(out, np.uint64)
+        # on bytes: A-Z and ASCII white space only
+        return np.array(list(map(xxhash.xxh64_intdigest, text.lower().split())), np.uint64)
 
     def shingles(self, text: bytes | None) -> np.ndarray:
         """The sorted distinct shingle hashes of a text; with fewer words, one of them all; without words none."""
