@@ -37,6 +37,8 @@ BLOCK_SETS = 4096
 #: Lists that more than one in LONG sets of a block are on are probed, not merged.
 LONG = 16
 BROADCAST_IDS = 1 << 20
+#: Rows of a batch whose texts are held as Python objects at a time.
+SLICE = 512
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WORDS)], dtype=np.uint64)
 
 
@@ -168,10 +170,10 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _sets_of(batches: Iterator[pa.RecordBatch], words: int, id_at: int = 0, text_at: int = 1):
     shingler = Shingler(words)
     for b in batches:
-        ids = b.column(id_at).to_pylist()
-        texts = b.column(text_at).cast(pa.binary()).to_pylist()
-        for i, t in zip(ids, texts):
-            yield i, shingler.shingles(t)
+        for at in range(0, len(b), SLICE):
+            part = b.slice(at, SLICE)
+            for i, t in zip(part.column(id_at).to_pylist(), part.column(text_at).cast(pa.binary()).to_pylist()):
+                yield i, shingler.shingles(t)
 
 
 def _pack(s: np.ndarray, d: np.ndarray, buckets: int):
@@ -218,7 +220,7 @@ _SETS_DDL = "k long, n long, s binary, c binary"
 #: Many sets' shingles in one row: keys, sizes, how many shingles each has here, the shingles and their counts.
 _PACKED = pa.schema([("dest", pa.int32()), ("k", pa.binary()), ("n", pa.binary()), ("m", pa.binary()), ("s", pa.binary()), ("c", pa.binary())])
 _PACKED_DDL = "dest int, k binary, n binary, m binary, s binary, c binary"
-_CHUNK = 2_000_000
+_CHUNK = 1_000_000
 
 
 def _suspects(docs: DataFrame, words: int, buckets: int) -> DataFrame:
@@ -314,7 +316,7 @@ def _shared_sets(docs: DataFrame, wanted: DataFrame, words: int, buckets: int, h
             keys.clear(), held.clear()
 
         size = 0
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             for t, want in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
                 s = shingler.shingles(t)
                 if len(s) and set_key(s) == want:
@@ -491,7 +493,7 @@ def _grouped(docs: DataFrame, words: int, hot: int, block_sets: int) -> tuple[Da
 
     def meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, len(whole), SLICE)):
             sets = [shingler.shingles(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), b.column(2)], schema=meta_schema)
 

@@ -36,11 +36,11 @@ from .common import give_back
 ALPHA = 0.004
 SAMPLES = 2
 #: Stretches that a worker remembers.
-MEMO = 300_000
+MEMO = 400_000
 #: Longest stretch that is worked on with others, and the cells of their tables; longer ones are worked on one by one.
 TABLE_LETTERS, CELLS = 40, 1 << 21
 #: Letters of texts that are worked on together.
-BATCH_LETTERS = 3 << 19
+BATCH_LETTERS = 1 << 21
 #: Stretches of up to so many letters are summed in logs if a share of theirs is below TINY.
 LOG_LETTERS = 256
 #: Weights below this may underflow on the way: such stretches are worked on one by one.
