@@ -182,7 +182,10 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, most_langs: int = MOS
     chosen = rows.where(spot < F.coalesce(share[F.col("lang")], F.lit(0))).limit(2 * per_lang * len(found))
     # in an order that does not depend on the partitions
     got = sorted(((r.id if r.id is not None else -1, r.text, r.lang) for r in chosen.toLocalIterator()), key=lambda r: (r[0], r[1], r[2]))
-    return fit([(t, lang) for _, t, lang in got])
+    model = fit([(t, lang) for _, t, lang in got])
+    del got
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,9 +24,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, materialize
+from .common import drop, give_back, materialize
 
-SKETCH_BITS = 18
+SKETCH_BITS = 17
 BROADCAST_ROWS = 200_000
 #: Bits of a word's hash below the 7 bits of its class.
 HASH_BITS = 56
@@ -62,7 +62,9 @@ def frequency_classes(texts: DataFrame) -> str:
     most = counts.groupBy(bucket(F.col("h")).cast("int").alias("b")).agg(F.least(F.lit(127), F.floor(2 * F.log2(F.max("count") + 1))).cast("byte").alias("c")).toArrow()
     classes = np.zeros(1 << SKETCH_BITS, np.uint8)
     classes[most["b"].to_numpy()] = most["c"].to_numpy()
-    return ",".join(map(str, classes.tolist()))
+    out = ",".join(map(str, classes.tolist()))
+    give_back()
+    return out
 
 
 def ordered_set(line: Column, classes: str) -> Column:
@@ -146,10 +148,11 @@ def _neighbours(firsts: DataFrame) -> DataFrame:
     w = Window.partitionBy("key").orderBy(F.col("first_doc").asc_nulls_first(), "ni")
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     other = lambda c: [F.first(c).over(so_far), *(F.lag(c, k).over(w) for k in range(1, NEIGHBOURS + 1))]
-    sides = [F.struct(s.alias("b"), x.alias("y")) for s, x in zip(other("sid"), other("ni"))]
-    near = _postings(firsts.withColumn("first_doc", F.col("place.doc_id")), "first_doc", rare=False).select("sid", "ni", *[s.alias(f"s{k}") for k, s in enumerate(sides)])
-    near = near.select(F.col("sid").alias("a"), F.col("ni").alias("x"), F.explode(F.array(*[F.col(f"s{k}") for k in range(len(sides))])).alias("o"))
-    near = near.where(F.col("o.b").isNotNull() & (F.col("o.b") != F.col("a")) & _fits(F.col("x"), F.col("o.y")))
+    sides = [F.struct(s.alias("b"), x.alias("y"), p.alias("r")) for s, x, p in zip(other("sid"), other("ni"), other("p"))]
+    near = _postings(firsts.withColumn("first_doc", F.col("place.doc_id")), "first_doc", "p", rare=False).select("sid", "ni", "p", *[s.alias(f"s{k}") for k, s in enumerate(sides)])
+    near = near.select(F.col("sid").alias("a"), F.col("ni").alias("x"), "p", F.explode(F.array(*[F.col(f"s{k}") for k in range(len(sides))])).alias("o"))
+    room = _size(F.col("x")) + _size(F.col("o.y")) - 2 * needed(_size(F.col("x")), _size(F.col("o.y")))
+    near = near.where(F.col("o.b").isNotNull() & (F.col("o.b") != F.col("a")) & _fits(F.col("x"), F.col("o.y")) & (F.bit_count(F.col("p").bitwiseXOR(F.col("o.r"))) <= room))
     near = near.select(F.least("a", "o.b").alias("a"), F.greatest("a", "o.b").alias("b")).distinct()
     sizes = firsts.select("sid", "n", "p", "q")
     left = sizes.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("q").alias("qa"))
