@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_quantization, exact_dedup, html_text, langid, line_dedup, mixing, ngram_join, pii, sp_sample, token_count
+from . import additive_quantization, exact_dedup, html_text, langid, lexical_search, line_dedup, mixing, ngram_join, pii, sp_sample, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removed_lines(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_additive_quantization, op2_pii, op3_ngram_join, op4_token_counts, op5_langid, op6_html_text, op7_sentencepiece, op8_source_mix, op9_exact_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_additive_quantization, op2_pii, op3_ngram_join, op4_token_counts, op5_langid, op6_html_text, op7_sentencepiece, op8_source_mix, op9_exact_dedup, op10_line_dedup, op11_lexical_search)}
 
 
 OP9 = r"""
@@ -65,4 +69,4 @@ FROM n WINDOW w AS (PARTITION BY t)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": mixing.ORACLE, "op9_exact_dedup": OP9, "op10_line_dedup": line_dedup.ORACLE}
+    return {"op8_source_mix": mixing.ORACLE, "op9_exact_dedup": OP9, "op10_line_dedup": line_dedup.ORACLE, "op11_lexical_search": lexical_search.ORACLE}
