@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import additive_quantization, exact_dedup, html_text, langid, lexical_search, line_dedup, mixing, ngram_join, periodic_runs, pii, sp_sample, token_count
+from . import additive_quantization, exact_dedup, html_text, langid, lexical_search, line_dedup, mixing, ngram_join, periodic_runs, pii, quality_rules, sp_sample, token_count
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,12 +57,16 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.detect_runs(_table(spark, sf_dir, "documents"), planted=True))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_additive_quantization, op2_pii, op3_ngram_join, op4_token_counts, op5_langid, op6_html_text, op7_sentencepiece, op8_source_mix, op9_exact_dedup, op10_line_dedup, op11_lexical_search, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_additive_quantization, op2_pii, op3_ngram_join, op4_token_counts, op5_langid, op6_html_text, op7_sentencepiece, op8_source_mix, op9_exact_dedup, op10_line_dedup, op11_lexical_search, op12_quality_rules, op13_periodic_runs)}
 
 
 OP9 = r"""
