@@ -25,8 +25,8 @@ MICRO = 1_000_000
 # Fixed values of the base rules.
 SYMBOLS = "[#*$%&|<>]"
 LEAST_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
-#: Rows without an id are dealt over so many keys where ids are joined.
-NULL_KEYS = 997
+#: The trusted multinomial is fitted on so many trusted ids at most (those with the smallest hashes): a table of this size is broadcast.
+TRUSTED_DOCS = 200_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -65,15 +65,13 @@ def bucket(*words: Column) -> Column:
     return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
 
 
-def ngram_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """bucket, n, trusted: n-grams of docs (doc_id, text) by bucket, over all and over the documents whose ids trusted (doc_id) lists.
+def ngram_counts(docs: DataFrame, trusted: DataFrame, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+    """bucket, n, trusted: n-grams of docs (doc_id, text) by bucket, over all and over the documents whose ids trusted (doc_id) lists, of which trusted_docs are used.
 
-    At most BUCKETS rows leave a task. Texts are shuffled only where the list of ids is too long for Spark to broadcast it.
+    At most BUCKETS rows leave a task; texts aren't shuffled.
     """
-    ids = trusted.select(F.col("doc_id").alias("trusted_id"), F.lit(0).alias("trusted_salt")).where("trusted_id is not null").distinct()
-    salt = F.when(F.col("doc_id").isNull(), F.pmod(F.xxhash64("text"), F.lit(NULL_KEYS)).cast("int") + 1).otherwise(0)
-    keyed = docs.select("text", F.coalesce("doc_id", F.lit(0)).alias("key"), salt.alias("salt"))
-    marked = keyed.join(ids, (F.col("key") == F.col("trusted_id")) & (F.col("salt") == F.col("trusted_salt")), "left")
+    ids = trusted.select(F.col("doc_id").alias("trusted_id")).where("trusted_id is not null").distinct().orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(trusted_docs)
+    marked = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left")
     words = marked.select(F.col("trusted_id").isNotNull().cast("long").alias("t"), words_of(F.col("text")).alias("words"))
     pairs = words.select("t", F.explode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.size("words"), F.lit(1))).alias("b"))).alias("x")).select("t", "x.a", "x.b")
     both = F.array(bucket(F.col("a")), F.when(F.col("b").isNotNull(), bucket(F.col("a"), F.col("b"))))
@@ -99,16 +97,16 @@ def ratio_sum(words: Column, ratios: list[int]) -> Column:
     return F.aggregate(each, F.lit(0).cast("long"), lambda total, x: total + x)
 
 
-def assess(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SCORE) -> DataFrame:
+def assess(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_SCORE, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, kept.
 
-    trusted lists the ids (doc_id) of trusted documents, unknown ones included; rows that share a listed id are all
-    trusted. base_failed: under 10 words, or more than a fifth of them in repeated windows. kept: not base_failed, and
+    trusted lists the ids (doc_id) of trusted documents, unknown ones included; at most trusted_docs of them are used;
+    rows that share a listed id are all trusted. base_failed: under 10 words, or more than a fifth of them in repeated windows. kept: not base_failed, and
     the score isn't below `least`. Null, empty and white texts have no words, fail and have score 0; null ids are never
     trusted; without trusted documents every score is 0; other columns aren't read; an empty table gives no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = {r.bucket: (r.n, r.trusted) for r in ngram_counts(docs, trusted.select(F.col("doc_id").cast("long").alias("doc_id"))).collect()}  # BUCKETS rows at most
+    counts = {r.bucket: (r.n, r.trusted) for r in ngram_counts(docs, trusted.select(F.col("doc_id").cast("long").alias("doc_id")), trusted_docs).collect()}  # BUCKETS rows at most
     text, words, n = F.coalesce("text", F.lit("")), F.col("words"), F.col("n_words")
     rows = docs.select("doc_id", "text", words_of(F.col("text")).alias("words"))
     rows = rows.select(

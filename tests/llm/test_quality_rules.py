@@ -89,14 +89,10 @@ def test_every_column_equals_brute_force(spark, rows):
     assert max(score[i] for i in range(60, 70)) < min(score[i] for i in range(50))
 
 
-def test_joins_of_long_id_lists_give_the_same(spark, rows):
+def test_a_bounded_number_of_trusted_documents_is_used(spark, rows):
     docs, ids = spark.createDataFrame(rows, "doc_id long, text string"), spark.range(40).select(F.col("id").alias("doc_id"))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        assert got(Q.assess(docs, ids)) == in_order(expected(rows, set(range(40))))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    used = {r.doc_id for r in ids.orderBy(F.xxhash64("doc_id")).limit(7).collect()}
+    assert got(Q.assess(docs, ids, trusted_docs=7)) == in_order(expected(rows, used))
 
 
 def test_odd_and_empty_tables(spark):
