@@ -19,6 +19,17 @@ def points(truth: Column, action: Column) -> Column:
     return F.when(truth == action, 8).when((truth == "DENIED") & (action == "APPROVED"), -4).when(action == "NEEDS_REVIEW", 2).when(truth == "NEEDS_REVIEW", 1).otherwise(0)
 
 
+def points_by(df: DataFrame, truth: str, action: str, columns: list[str], sets: list[tuple[str, ...]]) -> DataFrame:
+    """Rows, points and false approvals for each of several sets of columns, in one aggregate; level has a bit for each column that isn't part of a row's set.
+
+    A null in a column and a column left out are told apart by level.
+    """
+    t, a = F.col(truth), F.col(action)
+    grouped = df.groupingSets([[F.col(c) for c in s] for s in sets], *map(F.col, columns))
+    scored = grouped.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.sum(points(t, a)).alias("points"), F.count_if((t == "DENIED") & (a == "APPROVED")).alias("false_approvals"))
+    return scored.select(*columns, "level", "n", "points", "false_approvals")
+
+
 def normal_value(value: Column) -> Column:
     return F.lower(squeeze(F.coalesce(value, F.lit(""))))
 
