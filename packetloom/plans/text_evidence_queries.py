@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab as V
-from ..operators import nearest, proximity, waiver
+from ..operators import channel, lexicon, nearest, proximity, waiver
 from . import derived as D
 from .queries import query
 
@@ -141,3 +141,20 @@ def marker_contexts(spark, sf_dir):
     marks = words.where(F.col("text").contains("@")).select("doc_id", "start")
     met = proximity.pairs_within(words.select("doc_id", "start"), marks, ["doc_id"], "start", _REACH)
     return met.groupBy("doc_id", F.col("right_start").alias("marker")).agg(F.count("*").alias("n_words"), F.min("start").alias("first_word"), F.max("start").alias("last_word"))
+
+
+# ---- noisy channel -------------------------------------------------------------------------------------------------
+
+
+@query()
+def lexicon_search(spark, sf_dir):
+    """Damaged first names, corrected by the names of all packets and the channel that their damages show."""
+    k, c = F.col("k"), F.col("c")
+    first = D.packets(spark, sf_dir).where("applicant_name is not null").select("k", "c", F.lower(F.split("applicant_name", " ")[0]).alias("name"))
+    # the key travels: names damaged twice keep several damages apart
+    raw = F.replace(F.replace(F.col("name"), D.pick(("a", "x", "i", "qz"), c), D.pick(("o", "ks", "", "q"), c)), D.pick(("r", "e", "qz"), F.floor(k / 7)), D.pick(("n", "c", "q"), F.floor(k / 7)))
+    rows = first.withColumn("raw", raw)
+    counts = {(r.op, r.true_ch, r.obs_ch): r.n for r in channel.confusion_counts(rows.select(F.col("name").alias("true"), F.col("raw").alias("observed"))).collect()}  # letters squared at most
+    words = first.groupBy(F.col("name").alias("word")).agg(F.count("*").alias("n"))
+    found = lexicon.correct(rows, "raw", words, counts)
+    return rows.join(found, "raw").groupBy("raw", "word").agg(F.count("*").alias("n"), F.count_if(F.col("word") == F.col("name")).alias("right"), F.round(F.min("log_p"), 6).alias("log_p"))
