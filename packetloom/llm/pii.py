@@ -88,14 +88,21 @@ def normal_form(s: str) -> str:
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Spans that no base span overlaps and that may be mentions: ("", start, end)."""
-    taken = sorted((s, e) for _, s, e in base)
+    from bisect import bisect_left
+
+    # base spans of different kinds may overlap: joined, the last one that begins before an end tells whether a place is free
+    taken: list[list[int]] = []
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
     starts = [s for s, _ in taken]
     out = []
-    from bisect import bisect_left
 
     def free(s: int, e: int) -> bool:
         i = bisect_left(starts, e)
-        return not any(taken[j][1] > s for j in range(max(0, i - 4), i))
+        return not i or taken[i - 1][1] <= s
 
     if DIGIT.search(text):
         out += [("", *m.span()) for m in NUMBER_LIKE.finditer(text) if m.end() - m.start() >= 7 and sum(c.isdigit() for c in m[0]) >= 7 and free(*m.span())]
