@@ -10,7 +10,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -69,7 +69,9 @@ class _Cutter:
     words: list[str] = field(default_factory=list)
     links: int = 0
     stack: list[tuple[str, bool]] = field(default_factory=list)
-    opened: Counter = field(default_factory=Counter)
+    #: by tag, and of blocks: their depths in the stack
+    places: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
+    block_depths: list[int] = field(default_factory=list)
     out: int = 0
     article: int = 0
     heading: int = 0
@@ -96,11 +98,9 @@ class _Cutter:
             self.words.append(" ")
         if tag in VOID or rest.endswith("/"):
             return
-        if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and self.opened[tag]:
+        if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and self.places[tag]:
             # the same element that only inline ones separate ends here, as browsers have it
-            depth = len(self.stack) - 1
-            while self.stack[depth][0] not in BLOCK:
-                depth -= 1
+            depth = self.block_depths[-1]
             if self.stack[depth][0] == tag:
                 while len(self.stack) > depth:
                     self.pop()
@@ -109,8 +109,10 @@ class _Cutter:
             for name, a, b, c in ATTRIBUTE.findall(rest):
                 name, value = name.lower(), a or b or c
                 out = out or (name == "hidden") or (name == "aria-hidden" and value == "true") or (name in ("class", "id", "role") and bool(MARKED.search(value)))
+        self.places[tag].append(len(self.stack))
+        if tag in BLOCK:
+            self.block_depths.append(len(self.stack))
         self.stack.append((tag, out))
-        self.opened[tag] += 1
         self.count(tag, out, 1)
 
     def count(self, tag: str, out: bool, by: int) -> None:
@@ -121,19 +123,21 @@ class _Cutter:
 
     def pop(self) -> None:
         tag, out = self.stack.pop()
-        self.opened[tag] -= 1
+        self.places[tag].pop()
+        if tag in BLOCK:
+            self.block_depths.pop()
         self.count(tag, out, -1)
 
     def close(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for depth in range(len(self.stack) - 1 if self.opened[tag] else -1, -1, -1):
-            if self.stack[depth][0] == tag:
-                while len(self.stack) > depth:
-                    self.pop()
-                return
-            if tag not in BLOCK and self.stack[depth][0] in BLOCK:
-                return  # an inline end tag doesn't end the block around it
+        if not self.places[tag]:
+            return
+        depth = self.places[tag][-1]
+        if tag not in BLOCK and self.block_depths and self.block_depths[-1] > depth:
+            return  # an inline end tag doesn't end the block around it
+        while len(self.stack) > depth:
+            self.pop()
 
 
 class _Ends:
