@@ -267,15 +267,21 @@ def _with_gone(rows: DataFrame, doc_id: Column, row_key: Column, gone: DataFrame
 
 
 def without_matches(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all of them, with matched lines taken out of text (and n_chars, if there is one, counted anew)."""
+    """The rows of docs, all of them, with matched lines taken out of text (and n_chars, if there is one, counted anew).
+
+    Null ids and texts, blank lines and repeated rows are treated as in removed_lines(); null texts stay null; columns
+    may have any names; an empty table gives no rows.
+    """
     gone = _removed(_source(docs, "doc_id", "text"))
-    numbered = docs.withColumn("line_row_no", F.monotonically_increasing_id())
-    joined = _with_gone(numbered, docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string")), gone).withColumn("line_out", _gone(docs["text"], F.col("line_row_no")))
-    kept = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x, i: ~F.array_contains("line_out", i + 1)), "\n")
-    text = F.when(F.col("line_out").isNull(), docs["text"]).otherwise(kept)
-    columns = {c: docs[c] for c in docs.columns} | {"text": text}
+    # a row travels as a struct of its own columns, so that no names clash with those joined in
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("line_row"), F.monotonically_increasing_id().alias("line_row_no"))
+    text = F.col("line_row")["text"]
+    joined = _with_gone(rows, F.col("line_row")["doc_id"].cast("long"), F.xxhash64(text.cast("string")), gone).withColumn("line_out", _gone(text.cast("string"), F.col("line_row_no")))
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("line_out", i + 1)), "\n")
+    columns = {c: F.col("line_row")[c] for c in docs.columns}
+    columns["text"] = F.when(F.col("line_out").isNull(), text).otherwise(kept)
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("line_out").isNull(), docs["n_chars"]).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("line_out").isNull(), columns["n_chars"]).otherwise(F.length(kept)).cast(docs.schema["n_chars"].dataType)
     return joined.select(*[columns[c].alias(c) for c in docs.columns])
 
 

@@ -154,12 +154,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = MOST_REPEATS) -> DataFrame:
-    """The rows of docs in the mix, each as often as it is taken, with the columns of docs. Texts aren't shuffled."""
-    plan = Plan(_sized(docs, id_col, text_col, source_col), weights, share, repeats)
-    # the hashes and the source of a row travel beside a struct of its own columns, so that no names clash
+    """The rows of docs in the mix, each as often as it is taken, with the columns of docs. Texts aren't shuffled.
+
+    Nulls, ties and repeated rows are treated as in mix(). Rows are written once beside their hashes, so that what the
+    plan saw of a row is what is taken of it, wherever docs come from. Columns may have any names; an empty table, or one
+    without words, gives no rows.
+    """
     text = docs[text_col].cast("string")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"), docs[source_col].cast("string").alias("mix_of"), word_count(text).alias("mix_size"), row_hash(docs[id_col]).alias("hash"), second_hash(text, F.monotonically_increasing_id()).alias("hash2"))
-    taken = plan.times(rows, F.col("mix_of"), F.col("mix_size")).where("mix_times > 0")
+    rows = materialize(docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("mix_row"), docs[source_col].cast("string").alias("source"), word_count(text).alias("size"),
+        row_hash(docs[id_col]).alias("hash"), second_hash(text, F.monotonically_increasing_id()).alias("hash2"),
+    ), "mix-rows")
+    taken = Plan(rows.select("source", "size", "hash", "hash2"), weights, share, repeats).times(rows, F.col("source"), F.col("size")).where("mix_times > 0")
     return taken.select("mix_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_times"))).alias("mix_copy")).select("mix_row.*")
 
 

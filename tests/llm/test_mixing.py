@@ -73,3 +73,18 @@ def test_rows_without_ids_are_divided(spark):
     assert len(a) == 300 and abs(sum(r.taken for r in a) - a[0].target) <= 10
     assert sum(r.taken for r in M.mix(docs, share=0.5).collect()) == sum(r.taken for r in rows)
     assert M.mixture(docs, share=0.5).count() == sum(r.taken // r.size for r in rows if r.taken)
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_mixture_holds_to_its_plan_behind_a_shuffle(spark, parts):
+    """Null and repeated ids, whole repeats and clashing names, dealt anew: words taken come within a document of each source's target."""
+    rng = random.Random(parts)
+    texts = [sentence(rng, rng.randrange(5, 15)) for _ in range(400)]
+    rows = [(None if i % 2 else i % 7, t, "ab"[i % 4 == 0]) for i, t in enumerate(texts)] + [(None, texts[1], "a")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)
+    docs = docs.withColumn("size", M.F.lit("x")).withColumn("hash", M.F.lit(1)).withColumn("mix_row", M.F.lit(2)).withColumn("mix_copy", M.F.lit(3))
+    aim = {("a" if r.source_size == max(x.source_size for x in plan) else "b"): r.target for plan in [M.mix(docs).collect()] for r in plan}
+    got = M.mixture(docs)
+    assert got.columns == docs.columns
+    words = {r.source: r.n for r in got.groupBy("source").agg(M.F.sum(M.word_count(M.F.col("text"))).alias("n")).collect()}
+    assert all(abs(words[s] - aim[s]) <= 15 for s in "ab")
