@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab as V
 
+# Fixed values, here and in LABELS: the formats of the documents.
 #: A case id, and the two marks of a line that speaks to the reader's software instead of the case.
 CASE_ID = r"MIB-[0-9]{6}"
 DIRECTIVE = r"(?i)SYSTEM\s*:|answer key|ignore visible evidence"

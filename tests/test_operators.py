@@ -139,7 +139,7 @@ def test_text_functions(spark):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("Ludane Solix",), ("1xodane solkezh",), ("Qorx Zzzz",), ("Ludane",)], "n string").select(names.repair_name(F.col("n")).alias("x"))
+    df = spark.createDataFrame([("Ludane Solix",), ("1xodane solkezh",), ("Qorx Zzzz",), ("Ludane",)], "n string").select(names.repair_name(F.col("n"), ("Ludane", "Solix", "Ixodane", "Solkesh", "Qorix")).alias("x"))
     assert [(r.x.value, r.x.cost) for r in df.collect()] == [("Ludane Solix", 0), ("Ixodane Solkesh", 1), (None, None), (None, None)]
 
 
