@@ -40,7 +40,9 @@ def readings(glyphs: Column) -> Column:
     part = lambda at, size, values, free: F.filter(F.array(*[F.when(_may_be(F.substring(glyphs, at, size), v, free), v) for v in values]), lambda v: v.isNotNull())
     years, months, days = part(1, 4, YEARS, True), part(6, 2, MONTHS, True), part(9, 2, DAYS, False)
     joined = lambda heads, tails: F.flatten(F.transform(heads, lambda h: F.transform(tails, lambda t: F.concat(h, F.lit("-"), t))))
-    return F.filter(joined(joined(years, months), days), X.plausible_date)
+    # the parts are bound before they are combined, so that none is computed for every head
+    parts = F.array(F.struct(years.alias("y"), months.alias("m"), days.alias("d")))
+    return F.filter(F.transform(parts, lambda p: joined(joined(p["y"], p["m"]), p["d"]))[0], X.plausible_date)
 
 
 def reading_cost(glyphs: Column, date: Column) -> Column:
@@ -54,7 +56,7 @@ def reading_cost(glyphs: Column, date: Column) -> Column:
 
 def repaired(glyphs: Column) -> Column:
     """The one reading with the least cost, or null."""
-    scored = F.array_sort(F.transform(readings(glyphs), lambda d: F.struct(reading_cost(glyphs, d).alias("cost"), d.alias("date"))))
+    scored = F.sort_array(F.transform(readings(glyphs), lambda d: F.struct(reading_cost(glyphs, d).alias("cost"), d.alias("date"))))
     best = F.transform(F.array(scored), lambda s: F.when((F.size(s) == 1) | (F.get(s, F.lit(0))["cost"] < F.get(s, F.lit(1))["cost"]), F.get(s, F.lit(0))["date"]))
     return best[0]
 
@@ -68,8 +70,12 @@ def labelled_dates(streams: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(labels, "label", "left_semi").select(*keys, "stream", "glyphs")
 
 
+def repairs(seen: DataFrame) -> DataFrame:
+    """(glyphs, arrival_date): distinct texts of glyphs that have one best reading. Exploded, not filtered: filters inferred from so deep an expression take minutes to plan."""
+    return seen.select("glyphs").distinct().select("glyphs", F.explode(F.array_compact(F.array(repaired(F.col("glyphs"))))).alias("arrival_date"))
+
+
 def arrival_by_votes(streams: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     """(keys, arrival_date, votes): the date that most streams show, repaired, if at least `least` do and no other has as many. Distinct texts of glyphs are repaired once."""
     seen = labelled_dates(streams, keys)
-    known = seen.select("glyphs").distinct().withColumn("arrival_date", repaired(F.col("glyphs"))).where("arrival_date is not null")
-    return ranking.consensus(seen.join(known, "glyphs"), keys, "arrival_date", "stream", least).select(*keys, "arrival_date", "votes")
+    return ranking.consensus(seen.join(repairs(seen), "glyphs"), keys, "arrival_date", "stream", least).select(*keys, "arrival_date", "votes")

@@ -49,8 +49,7 @@ fixed AS (SELECT glyphs, date AS arrival_date FROM costs QUALIFY rank() OVER (PA
 @query(f"{_DATES} SELECT glyphs, arrival_date FROM fixed")
 def date_lattice(spark, sf_dir):
     """Every distinct damaged date and its one best reading."""
-    seen = R.labelled_dates(date_texts(spark, sf_dir), ["k"]).select("glyphs").distinct()
-    return seen.select("glyphs", R.repaired(F.col("glyphs")).alias("arrival_date")).where("arrival_date is not null")
+    return R.repairs(R.labelled_dates(date_texts(spark, sf_dir), ["k"]))
 
 
 @query(f"""{_DATES}, votes AS (SELECT k, arrival_date, count(DISTINCT stream) AS votes FROM seen JOIN fixed USING (glyphs) WHERE labelled GROUP BY ALL HAVING votes >= 2)
