@@ -16,29 +16,24 @@ def protected(source: Column) -> Column:
     return F.coalesce(source.rlike(PROTECTED), F.lit(False))
 
 
-def extract_fields(streams: DataFrame) -> DataFrame:
-    """(case_id, stream, trust, field, value, pos): labelled values of each stream after directives are dropped.
+def field_values(text: Column, field: str) -> Column:
+    """A field's labelled values in a text, in order: closed fields in their vocabulary's spelling, plausible dates; others are dropped."""
+    values = X.label_values(text, field)
+    if field in ("species_code", "home_world", "visa_class", "declared_purpose", "fee_status"):
+        known = F.array(*[F.lit(v) for v in (V.FEES if field == "fee_status" else V.vocabulary(field))])
+        return F.array_compact(F.transform(values, lambda x: F.get(F.filter(known, lambda v: F.lower(v) == F.lower(x)), F.lit(0))))
+    return F.filter(values, X.plausible_date) if field == "arrival_date" else values
 
-    Closed fields keep their vocabulary's spelling, dates must be plausible; other values are dropped.
-    """
-    clean = streams.withColumn("text", X.strip_injection(F.col("text")))
-    found = []
 
-    def in_spelling(values: Column, known: Column) -> Column:
-        return F.array_compact(F.transform(values, lambda x: F.get(F.filter(known, lambda v: F.lower(v) == F.lower(x)), F.lit(0))))
+def extract_fields(streams: DataFrame) -> DataFrame:
+    """(case_id, stream, trust, field, value, pos): labelled values of each stream after directives are dropped."""
+    clean = streams.withColumn("text", X.strip_injection(F.col("text")))
 
-    def as_rows(values: Column, field: str) -> Column:
-        return F.transform(values, lambda v, i: F.struct(F.lit(field).alias("field"), v.alias("value"), i.alias("pos")))
+    def as_rows(field: str) -> Column:
+        return F.transform(field_values(F.col("text"), field), lambda v, i: F.struct(F.lit(field).alias("field"), v.alias("value"), i.alias("pos")))
 
-    for field in X.LABELS:
-        values = X.label_values(F.col("text"), field)
-        if field in ("species_code", "home_world", "visa_class", "declared_purpose", "fee_status"):
-            known = F.array(*[F.lit(v) for v in (V.FEES if field == "fee_status" else V.vocabulary(field))])
-            values = in_spelling(values, known)
-        if field == "arrival_date":
-            values = F.filter(values, X.plausible_date)
-        found.append(as_rows(values, field))
-    return clean.select("case_id", "stream", "trust", F.explode(F.concat(*found)).alias("x")).select("case_id", "stream", "trust", "x.*")
+    found = F.concat(*[as_rows(field) for field in X.LABELS])
+    return clean.select("case_id", "stream", "trust", F.explode(found).alias("x")).select("case_id", "stream", "trust", "x.*")
 
 
 def fuse(candidates: DataFrame) -> DataFrame:

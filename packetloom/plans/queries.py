@@ -666,4 +666,4 @@ def packet_pipeline(spark, sf_dir):
     return flagship(spark, sf_dir)
 
 
-from . import date_queries, evidence_queries, model_queries, role_queries, stream_queries, text_evidence_queries  # noqa: E402, F401 (register their queries)
+from . import date_queries, escalation_queries, evidence_queries, model_queries, role_queries, stream_queries, text_evidence_queries  # noqa: E402, F401 (register their queries)
