@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,13 +101,13 @@ def usable(vector: str):
     return v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = QUERY_EVERY, top: int = TOP, train_rows: int = TRAIN_ROWS, rerank: float = RERANK) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", query_every: int = QUERY_EVERY, top: int = TOP, train_rows: int = TRAIN_ROWS, rerank: float = RERANK, repeats: bool = False) -> DataFrame:
     """The top rows by inner product of every row whose id is divisible by query_every: query_id, rank, vec_id, score.
 
     Every row is indexed; ids that are null take no part, nor do vectors that are null, empty, zero or have null or
-    non-finite components, nor vectors whose length isn't the most frequent one. A query never finds rows with its own
-    id. Rows repeated under one id count once, the first by content. Ties go to the smaller vec_id. With fewer rows than
-    top, all are returned; an empty table gives no rows. Other columns aren't read.
+    non-finite components, nor vectors whose length isn't the most frequent one. A query never finds its own row. Rows
+    repeated under one id count once, the first by content; with repeats they are rows of their own: each is found, by
+    its namesakes, too, and each has its own ranks as a query. Ties go to the smaller vec_id. With fewer rows than top, all are returned; an empty table gives no rows. Other columns aren't read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -115,8 +116,10 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = dims["d"], dims["count"]
-    rows = rows.where(F.size("v") == d).groupBy("vec_id").agg(F.min("v").alias("v"))
-    spot = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
+    rows = rows.where(F.size("v") == d)
+    if not repeats:
+        rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    spot = F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30))  # not by id alone: rows may share it
     sample = rows.where(spot < int((1 << 30) * min(1.0, 1.1 * train_rows / n)) + 1).limit(train_rows)
     got = sample.toPandas().sort_values("vec_id")
     book = spark.sparkContext.broadcast(train(np.array(got["v"].tolist(), dtype=np.float64)).books) if len(got) else None
@@ -124,14 +127,18 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of rows: ids, vectors, codes, norms."""
+        """Blocks of rows: numbers of the rows (unique, written once with them), ids, vectors, codes, norms."""
         books = Codebooks(book.value)
+        number = TaskContext.get().partitionId() << 33
 
         def block(ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+            nonlocal number
+            rows = np.arange(number, number + len(ids), dtype=np.int64)
+            number += len(ids)
             codes = books.encode(x)
             norms = (books.decode(codes) ** 2).sum(1).astype(np.float32)
-            cells = [ids.tobytes(), x.tobytes(), codes.tobytes(), norms.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["ids", "x", "codes", "norms"])
+            cells = [rows.tobytes(), ids.tobytes(), x.tobytes(), codes.tobytes(), norms.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["rows", "ids", "x", "codes", "norms"])
 
         ids, xs, held = [], [], 0
         for b in batches:
@@ -148,31 +155,31 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             yield block(np.concatenate(ids), np.concatenate(xs))
 
     # as many partitions as there are full blocks: how the input was split doesn't make blocks smaller
-    index = materialize(rows.repartition(-(-n // ROW_BLOCK)).mapInArrow(pack, "ids binary, x binary, codes binary, norms binary"), "aq-index")
+    index = materialize(rows.repartition(-(-n // ROW_BLOCK)).mapInArrow(pack, "rows binary, ids binary, x binary, codes binary, norms binary"), "aq-index")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks of the queries among the rows."""
         for b in batches:
-            for ids, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                i, x = np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, d)
+            for rows, ids, x in zip(*(c.to_pylist() for c in b.columns)):
+                r, i, x = np.frombuffer(rows, np.int64), np.frombuffer(ids, np.int64), np.frombuffer(x).reshape(-1, d)
                 keep = i % query_every == 0
-                i, x = i[keep], x[keep]
+                r, i, x = r[keep], i[keep], x[keep]
                 for at in range(0, len(i), QUERY_BLOCK):
-                    cells = [i[at : at + QUERY_BLOCK].tobytes(), x[at : at + QUERY_BLOCK].tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["q_ids", "q"])
+                    cells = [c[at : at + QUERY_BLOCK].tobytes() for c in (r, i, x)]
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], names=["q_rows", "q_ids", "q"])
 
-    queries = materialize(index.select("ids", "x").mapInArrow(pick, "q_ids binary, q binary"), "aq-queries")
-    out_schema = "query_id long, vec_id long, score double"
+    queries = materialize(index.select("rows", "ids", "x").mapInArrow(pick, "q_rows binary, q_ids binary, q binary"), "aq-queries")
+    out_schema = "query_row long, query_id long, vec_id long, score double"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = book.value.astype(np.float32)
         for b in batches:
-            for q_ids, q, ids, x, codes in zip(*(c.to_pylist() for c in b.columns)):
-                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
+            for q_rows, q_ids, q, rows, ids, x, codes in zip(*(c.to_pylist() for c in b.columns)):
+                q_rows, q_ids, rows, ids = (np.frombuffer(c, np.int64) for c in (q_rows, q_ids, rows, ids))
                 q, x = np.frombuffer(q).reshape(-1, d), np.frombuffer(x).reshape(-1, d)
                 codes = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
                 take = min(len(ids), max(8 * top, int(rerank * len(ids))))
-                found: list[list[np.ndarray]] = [[], [], []]
+                found: list[list[np.ndarray]] = [[], [], [], []]
                 for at in range(0, len(q), 256):
                     qs = q[at : at + 256]
                     lut = np.einsum("mkd,qd->mkq", books, qs.astype(np.float32), optimize=True)
@@ -183,18 +190,17 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
                     near = np.argpartition(-approx, take - 1, axis=1)[:, :take] if take < len(ids) else np.tile(np.arange(len(ids)), (len(qs), 1))
                     for k, (one, c) in enumerate(zip(qs, near)):
                         exact = (x[c] * one).sum(1)
-                        exact[ids[c] == q_ids[at + k]] = -np.inf
+                        exact[rows[c] == q_rows[at + k]] = -np.inf
                         best = np.lexsort((ids[c], -exact))[:top]
                         best = best[exact[best] > -np.inf]
-                        found[0].append(np.full(len(best), q_ids[at + k]))
-                        found[1].append(ids[c][best])
-                        found[2].append(exact[best])
+                        for cell, got in zip(found, (np.full(len(best), q_rows[at + k]), np.full(len(best), q_ids[at + k]), ids[c][best], exact[best])):
+                            cell.append(got)
                 if found[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(f)) for f in found], names=["query_row", "query_id", "vec_id", "score"])
 
     # a stated query set against all rows, block by block
-    pairs = queries.crossJoin(index.select("ids", "x", "codes"))
+    pairs = queries.crossJoin(index.select("rows", "ids", "x", "codes"))
     near = pairs.mapInArrow(score, out_schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_additive_quantization(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return additive_quantization.search(_table(spark, sf_dir, "embeddings"))
+    return additive_quantization.search(_table(spark, sf_dir, "embeddings"), repeats=True)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,6 +80,16 @@ def test_odd_vectors(spark):
     assert A.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    rows = [(0, [1.0, 0.0]), (0, [3.0, 0.0]), (7, [2.0, 0.0]), (7, [4.0, 0.0]), (7, [4.0, 0.0])]
+    got = sorted(tuple(r) for r in A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), repeats=True).collect())
+    # the query (1, 0) finds its namesake (3, 0), and the reverse
+    mine = [(1, 7, 4.0), (2, 7, 4.0), (3, 0, 3.0), (4, 7, 2.0)]
+    other = [(1, 7, 12.0), (2, 7, 12.0), (3, 7, 6.0), (4, 0, 3.0)]
+    assert got == sorted((0, *x) for x in mine + other)
+    assert A.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).count() == 1
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
