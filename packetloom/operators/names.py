@@ -43,19 +43,19 @@ def repair_name(raw: Column, lexicon: tuple[str, ...] = V.NAME_TOKENS) -> Column
     return F.struct(F.when(ok, F.concat_ws(" ", first["value"], last["value"])).alias("value"), F.when(ok, first["cost"] + last["cost"]).alias("cost"))
 
 
-def merge_candidates(candidates: DataFrame) -> DataFrame:
-    """One row per (case_id, tier, name): case_match if any, mismatch if all, least cost, all streams, the most trusted one."""
-    return candidates.groupBy("case_id", "tier", F.lower("name").alias("key")).agg(
+def merge_candidates(candidates: DataFrame, case: str = "case_id") -> DataFrame:
+    """One row per (case, tier, name): case_match if any, mismatch if all, least cost, all streams, the most trusted one."""
+    return candidates.groupBy(case, "tier", F.lower("name").alias("key")).agg(
         F.min("name").alias("name"), F.bool_or("case_match").alias("case_match"), F.bool_and("case_mismatch").alias("case_mismatch"),
         F.min("edit_cost").alias("edit_cost"), F.array_sort(F.collect_set("stream")).alias("sources"), F.min_by("stream", F.struct("trust", "stream")).alias("stream"),
     )
 
 
-def select_candidate(merged: DataFrame) -> DataFrame:
+def select_candidate(merged: DataFrame, case: str = "case_id") -> DataFrame:
     """The best name per case; mismatched cases are out. Registry before sponsor before the rest, then more support, less repair, name."""
     tier = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
     support = F.size("sources")
-    order = Window.partitionBy("case_id").orderBy(F.col("case_match").desc(), tier.desc(), support.desc(), "edit_cost", "name")
+    order = Window.partitionBy(case).orderBy(F.col("case_match").desc(), tier.desc(), support.desc(), "edit_cost", "name")
     ranked = merged.where(~F.col("case_mismatch")).withColumn("_r", F.row_number().over(order))
     return ranked.where("_r = 1").drop("_r", "key")
 
