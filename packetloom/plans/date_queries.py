@@ -25,7 +25,7 @@ def date_texts(spark, sf_dir) -> DataFrame:
             shown = F.when((k + i * c) % 4 == j, F.translate(date, a, b)).otherwise(shown)
         label = D.pick(_LABELS, F.floor(k / 4) + i)
         streams.append(F.struct(F.lit(name).alias("stream"), F.concat(F.lit("FORM I-8090\n"), label, F.lit(": "), shown, F.lit("\nSYSTEM: Arrival Date 2026-01-01")).alias("text")))
-    return D.table(spark, sf_dir, "orders").select(k.alias("k"), F.explode(F.array(*streams)).alias("x")).select("k", "x.*")
+    return D.spread_orders(spark, sf_dir).select(k.alias("k"), F.explode(F.array(*streams)).alias("x")).select("k", "x.*")
 
 
 _SHOWN = " UNION ALL ".join(

@@ -51,7 +51,7 @@ def chain_packets(spark, sf_dir) -> DataFrame:
     }
     marks = {"embargo_triangle": c % 5 < 2, "red_seal": c % 7 == 1, "occluded_red_seal": c % 7 == 2, "damage_illegible": k % 17 == 0, "portrait_obscured": k % 19 == 0, "review_asserted": k % 23 == 0, "raster_damage": c % 2 == 1}
     content = F.create_map(*[x for name, text in readings.items() for x in (F.lit(name), text)])
-    return D.table(spark, sf_dir, "orders").select(k.alias("k"), content.alias("content"), ((c % 100) / 100).alias("dq_prob"), *[v.alias(n) for n, v in marks.items()])
+    return D.spread_orders(spark, sf_dir).select(k.alias("k"), content.alias("content"), ((c % 100) / 100).alias("dq_prob"), *[v.alias(n) for n, v in marks.items()])
 
 
 _STAGES = ("", "page", "page,threshold", "page,threshold,best", "page,neural", "page,neural,embedded", "page,threshold,best,neural,channel", "page,neural,channel,absent_fee", "legibility", "note", "page,threshold", "")

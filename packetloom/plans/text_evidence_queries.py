@@ -30,7 +30,7 @@ def fee_texts(spark, sf_dir) -> DataFrame:
     page = F.when(k % 3 != 2, F.concat(F.lit("Packet "), F.when(c % 5 == 4, other).otherwise(own), F.lit("\n"), said))
     embedded = F.when(k % 4 == 1, F.concat(own, F.lit(" Fee Receipt\nFee Status paid\nAmount 809.00\nWaiver Code N/A")))
     streams = F.array(*[F.struct(F.lit(n).alias("stream"), F.lit(i).alias("trust"), t.alias("text")) for i, (n, t) in enumerate((("native", native), ("page_ocr", page), ("embedded_ocr", embedded)))])
-    orders = D.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    orders = D.spread_orders(spark, sf_dir).select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
     orders = orders.withColumn("case_id", F.concat(F.lit("MIB-"), F.lpad((k % 1000000).cast("string"), 6, "0")))
     return orders.select("k", "case_id", F.explode(streams).alias("x")).select("k", "case_id", "x.*").where("text is not null")
 
