@@ -50,8 +50,8 @@ def _chance(eta: np.ndarray) -> np.ndarray:
 
 
 def class_weights(rows: DataFrame, fits: list[Fit]) -> dict[Fit, tuple[float, float]]:
-    """Per fit the weights of outcomes 0 and 1 that make both weigh the same; counts of (outer, inner, y) are all that is collected."""
-    counts = {(r.outer, r.inner, int(r.y)): r.n for r in rows.groupBy("outer", "inner", "y").agg(F.count("*").alias("n")).collect()}
+    """Per fit the weights of outcomes 0 and 1 that make both weigh the same, from rows with their counts n; counts of (outer, inner, y) are all that is collected."""
+    counts = {(r.outer, r.inner, int(r.y)): r.rows for r in rows.groupBy("outer", "inner", "y").agg(F.sum("n").alias("rows")).collect()}
     out = {}
     for o, i in fits:
         by = [sum(n for (a, b, y), n in counts.items() if a != o and b != i and y == side) for side in (0, 1)]
@@ -65,9 +65,18 @@ def fit_many(rows: DataFrame, fits: list[Fit], folds: int = OUTER, c: float = C,
     x: array of features; z: an array per outer fold of the features that may differ by it (lists learned outside that
     fold), empty arrays if there are none. Minimised is half the squared coefficients, the intercept's aside, plus c
     times the weighted log loss. A step that doesn't lower it is halved. balanced: both outcomes weigh the same in
-    every fit. Rows whose y is null are left out. Cache rows: each step scans them once. Without rows all are 0.
+    every fit. Rows whose y is null are left out. Equal rows are counted once, before the steps, and the counts are
+    kept for the scans: steps take as long as the rows differ. Without rows all are 0.
     """
-    rows = rows.where("y is not null").select("y", "outer", "inner", "x", "z")
+    rows = rows.where("y is not null").groupBy("y", "outer", "inner", "x", "z").agg(F.count("*").alias("n")).persist()
+    try:
+        return _newton(rows, fits, folds, c, balanced)
+    finally:
+        rows.unpersist()
+
+
+def _newton(rows: DataFrame, fits: list[Fit], folds: int, c: float, balanced: bool) -> dict[Fit, np.ndarray]:
+    """The steps of fit_many(), over (y, outer, inner, x, z, n), n being how often a row is there."""
     first = rows.first()
     if first is None:
         return {f: np.zeros(1) for f in fits}
@@ -110,13 +119,13 @@ def _sums(rows: DataFrame, at: dict[Fit, np.ndarray], weights: dict, folds: int,
                 continue
             seen = True
             x, z = _design(batch, folds)
-            y, outer, inner = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("y", "outer", "inner"))
+            y, outer, inner, often = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("y", "outer", "inner", "n"))
             designs = {o: np.column_stack([x, z[:, o]]) for o in {o for o, _ in fits}}
             for k, (o, i) in enumerate(fits):
                 mine = (outer != o) & (inner != i) if i is not None else outer != o
                 d, t = designs[o][mine], y[mine]
                 eta = d @ at[o, i]
-                p, w = _chance(eta), np.where(t > 0, weights[o, i][1], weights[o, i][0])
+                p, w = _chance(eta), often[mine] * np.where(t > 0, weights[o, i][1], weights[o, i][0])
                 total[k, 0] += (w * (np.logaddexp(0, eta) - t * eta)).sum()
                 total[k, 1 : 1 + width] += d.T @ (w * (p - t))
                 total[k, 1 + width :] += (d.T @ (d * (w * p * (1 - p))[:, None])).ravel()
@@ -149,7 +158,7 @@ def chances(fitted: dict[Fit, np.ndarray], folds: int = OUTER) -> Column:
                 rows = of == o if i is None else (of != o) & (within == i)
                 if (o, i) in fitted and rows.any():
                     out[rows, o] = _chance(d[rows] @ fitted[o, i])
-        return pa.array(list(out), pa.list_(pa.float64()))
+        return pa.ListArray.from_arrays(np.arange(0, out.size + 1, folds, dtype=np.int32), out.ravel())
 
     return score("outer", "inner", "x", "z")
 

@@ -12,7 +12,7 @@ from .queries import _POINTS, query
 
 
 def _decided(spark, sf_dir) -> DataFrame:
-    return nested.with_folds(rules.decide(D.packets(spark, sf_dir)).withColumn("raw_confidence", rules.raw_confidence()), "k")
+    return nested.with_folds(rules.decide(D.packets(spark, sf_dir, D.spread_orders(spark, sf_dir))).withColumn("raw_confidence", rules.raw_confidence()), "k")
 
 
 _FOLD = lambda seed, n: f"('0x' || substr(md5('{seed}:' || k), 1, 8))::BIGINT % {n}"

@@ -41,6 +41,20 @@ def test_every_fit_equals_its_single_fit(spark, balanced):
         assert b == pytest.approx(single(np.column_stack([x, z[:, o]])[m], y[m], 0.3, weight), abs=1e-6)
 
 
+@pytest.mark.parametrize("balanced", [False, True])
+def test_equal_rows_are_scanned_once_and_count_as_often_as_they_are_there(spark, monkeypatch, balanced):
+    x, z, y, outer, inner = (np.repeat(a, 5, 0) for a in make(60, 7))
+    scanned, sums = [], nested._sums
+    monkeypatch.setattr(nested, "_sums", lambda rows, *rest: scanned.append(rows.count()) or sums(rows, *rest))
+    got = nested.fit_many(frame(spark, x, z, y, outer, inner), [(1, 2), (3, None)], 4, 0.3, balanced)
+    assert set(scanned) == {60}
+    for (o, i), b in got.items():
+        m = (outer != o) & ((inner != i) if i is not None else True)
+        n = [(y[m] == s).sum() for s in (0, 1)]
+        weight = np.where(y[m] > 0, m.sum() / (2 * n[1]), m.sum() / (2 * n[0])) if balanced else None
+        assert b == pytest.approx(single(np.column_stack([x, z[:, o]])[m], y[m], 0.3, weight), abs=1e-6)
+
+
 def test_probabilities_come_from_fits_that_left_the_row_out(spark):
     x, z, y, outer, inner = make(120)
     df = frame(spark, x, z, y, outer, inner)
