@@ -189,15 +189,22 @@ def _pack(s: np.ndarray, d: np.ndarray, buckets: int):
             yield x, s[lo:hi], place.astype(np.uint32), used
 
 
-def _merged(cells: list[list[bytes]]):
-    """The runs of a bucket, merged by shingle: shingles, places, and keys and sizes by place."""
-    s = np.concatenate([np.frombuffer(c[0], np.uint64) for c in cells])
+def _merged(cells: list[list[bytes]], most: int = 0):
+    """The runs of a bucket, merged by shingle: shingles, places, and keys and sizes by place. In turn for ranges of shingles
+    of about `most` postings (a shingle's are never parted), or all at once: what is worked on at a time is small beside the runs."""
+    runs = [(np.frombuffer(c[0], np.uint64), np.frombuffer(c[1], np.uint32)) for c in cells]
     first = np.cumsum([0] + [len(c[2]) // 8 for c in cells])
-    d = np.concatenate([np.frombuffer(c[1], np.uint32).astype(np.int64) + f for c, f in zip(cells, first)])
     k = np.concatenate([np.frombuffer(c[2], np.int64) for c in cells])
-    n = np.concatenate([np.frombuffer(c[3], np.uint32) for c in cells]).astype(np.int64)
-    o = np.argsort(s, kind="stable")
-    return s[o], d[o], k, n
+    n = np.concatenate([np.frombuffer(c[3], np.uint32) for c in cells])
+    ranges = -(-sum(len(s) for s, _ in runs) // most) if most else 1
+    bounds = np.array([(x << 64) // ranges for x in range(1, ranges)], np.uint64)  # hashes are even
+    cuts = [[0, *np.searchsorted(s, bounds).tolist(), len(s)] for s, _ in runs]
+    for x in range(ranges):
+        mine = [(s[c[x] : c[x + 1]], d[c[x] : c[x + 1]].astype(np.int64) + f) for (s, d), c, f in zip(runs, cuts, first)]
+        s, d = (np.concatenate(y) for y in zip(*mine))
+        if len(s):
+            o = np.argsort(s, kind="stable")
+            yield s[o], d[o], k, n
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[bytes]]]:
@@ -220,11 +227,19 @@ _SETS_DDL = "k long, n long, s binary, c binary"
 #: Many sets' shingles in one row: keys, sizes, how many shingles each has here, the shingles and their counts.
 _PACKED = pa.schema([("dest", pa.int32()), ("k", pa.binary()), ("n", pa.binary()), ("m", pa.binary()), ("s", pa.binary()), ("c", pa.binary())])
 _PACKED_DDL = "dest int, k binary, n binary, m binary, s binary, c binary"
-_CHUNK = 1_000_000
+#: Postings that a task works on at a time.
+_CHUNK = 400_000
+#: Rows of an Arrow batch: a row of postings is long.
+BATCH_ROWS = 128
 
 
-def _suspects(docs: DataFrame, words: int, buckets: int) -> DataFrame:
-    """k of the sets that share one of their first shingles by hash with another set."""
+_TOLD = pa.schema([("dest", pa.int32()), ("k", pa.binary())])
+
+
+def _told(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+    """(dest, k): packed keys of the sets that share one of their first shingles by hash with another set, dealt by key; a
+    row for each bucket of shingles and each of keys. A key is told by each bucket that has a shared shingle of it, but by
+    the chunk alone that has its partner, too."""
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: dict[int, int] = {}
@@ -267,17 +282,37 @@ def _suspects(docs: DataFrame, words: int, buckets: int) -> DataFrame:
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cells in _by_bucket(batches):
             told = [np.frombuffer(c[2], np.int64) for c in cells if c[3] is None]
-            cells = [[*c[:3], np.zeros(len(c[2]) // 8, np.uint32).tobytes()] for c in cells if c[3] is not None]
-            if cells:
-                s, d, k, _ = _merged(cells)
-                run = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-                low, high = np.full(run[-1] + 1, np.iinfo(np.int64).max), np.full(run[-1] + 1, np.iinfo(np.int64).min)
-                np.minimum.at(low, run, k[d])
-                np.maximum.at(high, run, k[d])
-                told.append(k[d][(low != high)[run]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(told)))], names=["k"])
+            cells = [[*c[:3], np.frombuffer(c[3], bool).astype(np.uint32).tobytes()] for c in cells if c[3] is not None]
+            for s, d, k, known in _merged(cells, _CHUNK) if cells else ():
+                head = np.ones(len(s), bool)
+                head[1:] = s[1:] != s[:-1]
+                starts, run = np.nonzero(head)[0], np.cumsum(head) - 1
+                of = k[d]
+                several = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
+                told.append(np.unique(of[several[run] & (known[d] == 0)]))
+            keys = np.unique(np.concatenate(told))
+            dest = keys % buckets
+            o = np.argsort(dest, kind="stable")
+            keys, cuts = keys[o], np.searchsorted(dest[o], np.arange(buckets + 1))
+            rows = [(x, keys[lo:hi].tobytes()) for x, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+            if rows:
+                yield _rows(rows, _TOLD)
+        give_back()
+
+    return docs.mapInArrow(heads, _KEYED_DDL).repartitionById(buckets, "bucket").mapInArrow(shared, "dest int, k binary")
 
-    return docs.mapInArrow(heads, _KEYED_DDL).repartition(buckets, "bucket").mapInArrow(shared, "k long").distinct()
+
+def _suspects(docs: DataFrame, words: int, buckets: int) -> DataFrame:
+    """k of the sets that share one of their first shingles by hash with another set."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = np.zeros(0, np.int64)
+        for b in batches:
+            keys = np.unique(np.concatenate([keys, *(np.frombuffer(x, np.int64) for x in b.column(1).to_pylist())]))
+        for at in range(0, len(keys), _CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + _CHUNK])], names=["k"])
+
+    return _told(docs, words, buckets).repartitionById(buckets, "dest").mapInArrow(unpacked, "k long")
 
 
 def _shared_sets(docs: DataFrame, wanted: DataFrame, words: int, buckets: int, hot: int) -> DataFrame:
@@ -339,6 +374,7 @@ def _shared_sets(docs: DataFrame, wanted: DataFrame, words: int, buckets: int, h
                     key = int.from_bytes(dk, "little", signed=True)
                     direct.setdefault(key % buckets, []).append((dk, dn[:4], len(dc).to_bytes(4, "little"), ds, dc))
             for dest, parts in direct.items():
+                parts.sort(key=lambda x: int.from_bytes(x[0], "little", signed=True))
                 rows.append((dest, *(b"".join(x) for x in zip(*parts))))
             much = [c for c in cells if not c[2]]
             plain = [c for c in cells if c[2] and not (len(c[2]) == 8 and len(c[3]) == 8)]
@@ -346,61 +382,72 @@ def _shared_sets(docs: DataFrame, wanted: DataFrame, words: int, buckets: int, h
                 if rows:
                     yield _rows(rows, _PACKED)
                 continue
-            s, d, k, n = _merged(plain)
-            o = np.lexsort((k[d], s))
-            s, d = s[o], d[o]
-            new = np.ones(len(s), bool)
-            new[1:] = (s[1:] != s[:-1]) | (k[d[1:]] != k[d[:-1]])
-            s, d = s[new], d[new]  # rows that repeat an id are one set
-            values, at, count = np.unique(s, return_inverse=True, return_counts=True)
-            if much:
-                hs, hc = np.concatenate([np.frombuffer(c[0], np.uint64) for c in much]), np.concatenate([np.frombuffer(c[1], np.uint32) for c in much])
-                place = np.minimum(np.searchsorted(values, hs), len(values) - 1)
-                hit = values[place] == hs
-                np.add.at(count, place[hit], hc[hit])
-            keep = count[at] >= 2
-            s, d, c = s[keep], d[keep], np.minimum(count[at[keep]], hot).astype(np.uint8)
-            of = k[d]
-            o = np.lexsort((of, of % buckets))
-            s, d, c, of = s[o], d[o], c[o], of[o]
-            head = np.ones(len(of), bool)
-            head[1:] = of[1:] != of[:-1]
-            starts = np.nonzero(head)[0]
-            lengths = np.diff(np.append(starts, len(of)))
-            dest = of[starts] % buckets
-            for x in np.unique(dest).tolist():
-                lo, hi = np.searchsorted(dest, [x, x + 1])
-                first, last = starts[lo], starts[hi - 1] + lengths[hi - 1]
-                mine = starts[lo:hi]
-                rows.append((x, of[mine].tobytes(), n[d[mine]].astype(np.uint32).tobytes(), lengths[lo:hi].astype(np.uint32).tobytes(), s[first:last].tobytes(), c[first:last].tobytes()))
+            for s, d, k, n in _merged(plain, _CHUNK):
+                o = np.lexsort((k[d], s))
+                s, d = s[o], d[o]
+                new = np.ones(len(s), bool)
+                new[1:] = (s[1:] != s[:-1]) | (k[d[1:]] != k[d[:-1]])
+                s, d = s[new], d[new]  # rows that repeat an id are one set
+                values, at, count = np.unique(s, return_inverse=True, return_counts=True)
+                if much and len(values):
+                    hs, hc = np.concatenate([np.frombuffer(c[0], np.uint64) for c in much]), np.concatenate([np.frombuffer(c[1], np.uint32) for c in much])
+                    place = np.minimum(np.searchsorted(values, hs), len(values) - 1)
+                    hit = values[place] == hs
+                    np.add.at(count, place[hit], hc[hit])
+                keep = count[at] >= 2
+                s, d, c = s[keep], d[keep], np.minimum(count[at[keep]], hot).astype(np.uint8)
+                of = k[d]
+                o = np.lexsort((of, of % buckets))
+                s, d, c, of = s[o], d[o], c[o], of[o]
+                head = np.ones(len(of), bool)
+                head[1:] = of[1:] != of[:-1]
+                starts = np.nonzero(head)[0]
+                lengths = np.diff(np.append(starts, len(of)))
+                dest = of[starts] % buckets
+                for x in np.unique(dest).tolist():
+                    lo, hi = np.searchsorted(dest, [x, x + 1])
+                    first, last = starts[lo], starts[hi - 1] + lengths[hi - 1]
+                    mine = starts[lo:hi]
+                    rows.append((x, of[mine].tobytes(), n[d[mine]].astype(np.uint32).tobytes(), lengths[lo:hi].astype(np.uint32).tobytes(), s[first:last].tobytes(), c[first:last].tobytes()))
             if rows:
                 yield _rows(rows, _PACKED)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[int, list[bytes], list[bytes]]] = {}
+        cells: list[tuple] = []
         for b in batches:
             for k, n, m, s, c in zip(*(x.to_pylist() for x in b.columns[1:])):
-                at = 0
-                for key, size, many in zip(np.frombuffer(k, np.int64).tolist(), np.frombuffer(n, np.uint32).tolist(), np.frombuffer(m, np.uint32).tolist()):
-                    mine = held.setdefault(key, (size, [], []))
-                    mine[1].append(s[8 * at : 8 * (at + many)])
-                    mine[2].append(c[at : at + many])
-                    at += many
-        rows, size = [], 0
-        for k in sorted(held):
-            n, s, c = held.pop(k)
-            s, first = np.unique(np.frombuffer(b"".join(s), np.uint64), return_index=True)
-            if len(s) >= -(-NUM * n // DEN):
-                rows.append((k, n, s.tobytes(), np.frombuffer(b"".join(c), np.uint8)[first].tobytes()))
-                size += len(s)
-                if size > 1_000_000:
-                    yield _rows(rows, _SETS)
-                    rows, size = [], 0
-        if rows:
-            yield _rows(rows, _SETS)
+                cells.append((np.frombuffer(k, np.int64), np.frombuffer(n, np.uint32), np.frombuffer(m, np.uint32), np.frombuffer(s, np.uint64), np.frombuffer(c, np.uint8)))
+        # some of the sets at a time, whole ones, by their keys; each row's keys are sorted
+        turns = -(-sum(len(x[3]) for x in cells) // _CHUNK)
+        bounds = [(x << 64) // turns - (1 << 63) for x in range(turns)] + [1 << 63]
+        for low, high in zip(bounds, bounds[1:]):
+            parts = []
+            for k, n, m, s, c in cells:
+                lo = int(np.searchsorted(k, low))
+                hi = len(k) if high == 1 << 63 else int(np.searchsorted(k, high))
+                if hi > lo:
+                    begin, many = int(m[:lo].sum()), m[lo:hi]
+                    end = begin + int(many.sum())
+                    parts.append((np.repeat(k[lo:hi], many), np.repeat(n[lo:hi], many), s[begin:end], c[begin:end]))
+            if not parts:
+                continue
+            k, n, s, c = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            o = np.lexsort((s, k))
+            k, n, s, c = k[o], n[o], s[o], c[o]
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+            k, n, s, c = k[new], n[new], s[new], c[new]
+            starts = np.nonzero(np.append(True, k[1:] != k[:-1]))[0]
+            rows = []
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(k)]):
+                if hi - lo >= -(-NUM * int(n[lo]) // DEN):
+                    rows.append((int(k[lo]), int(n[lo]), s[lo:hi].tobytes(), c[lo:hi].tobytes()))
+            if rows:
+                yield _rows(rows, _SETS)
         give_back()
 
-    return chosen.mapInArrow(whole, _KEYED_DDL).repartition(buckets, "bucket").mapInArrow(counted, _PACKED_DDL).repartition(buckets, "dest").mapInArrow(gathered, _SETS_DDL)
+    return chosen.mapInArrow(whole, _KEYED_DDL).repartitionById(buckets, "bucket").mapInArrow(counted, _PACKED_DDL).repartitionById(buckets, "dest").mapInArrow(gathered, _SETS_DDL)
 
 
 def _blocks(sets: DataFrame, buckets: int) -> DataFrame:
@@ -435,7 +482,8 @@ def _blocks(sets: DataFrame, buckets: int) -> DataFrame:
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chain the members of each list by size; tie each chain's members to its smallest."""
         for cells in _by_bucket(batches):
-            s, d, k, n = _merged(cells)
+            s, d, k, n = next(_merged(cells))
+            n = n.astype(np.int64)
             o = np.lexsort((k[d], n[d], s))
             s, d = s[o], d[o]
             a, b = d[:-1], d[1:]
@@ -446,7 +494,7 @@ def _blocks(sets: DataFrame, buckets: int) -> DataFrame:
             if away.any():
                 yield pa.RecordBatch.from_arrays([pa.array(keys[away]), pa.array(keys[root[away]])], names=["a", "b"])
 
-    edges = sets.mapInArrow(heads, _KEYED_DDL).repartition(buckets, "bucket").mapInArrow(chains, "a long, b long")
+    edges = sets.mapInArrow(heads, _KEYED_DDL).repartitionById(buckets, "bucket").mapInArrow(chains, "a long, b long")
     return connected_components(edges, "ngram-blocks")
 
 
@@ -497,12 +545,12 @@ def _grouped(docs: DataFrame, words: int, hot: int, block_sets: int) -> tuple[Da
             sets = [shingler.shingles(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(set_key, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), b.column(2)], schema=meta_schema)
 
-    rows = materialize(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(meta, "doc_id long, k long, n long, text_hash long"), "ngram-keys")
+    rows = materialize(docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(meta, "doc_id long, k long, n long, text_hash long"), "ngram-keys", batch_rows=BATCH_ROWS)
     suspects = _suspects(docs, words, buckets)
     reps = rows.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    wanted = materialize(reps.join(suspects, "k"), "ngram-wanted")
-    sets = materialize(_shared_sets(docs, wanted, words, buckets, hot), "ngram-shared")
-    found = materialize(_links(sets, _blocks(sets, buckets), wanted, block_sets), "ngram-found")
+    wanted = materialize(reps.join(suspects, "k"), "ngram-wanted", batch_rows=BATCH_ROWS)
+    sets = materialize(_shared_sets(docs, wanted, words, buckets, hot), "ngram-shared", batch_rows=BATCH_ROWS)
+    found = materialize(_links(sets, _blocks(sets, buckets), wanted, block_sets), "ngram-found", batch_rows=BATCH_ROWS)
     groups = connected_components(found.where("b is not null").select("a", "b"), "ngram-links")
     linked_rows = found.where("b is null").groupBy(F.col("a").alias("linked")).agg(F.sum("links").alias("links"))
     # smallest id of each component: by set first, so a group of copies is one row here
