@@ -17,13 +17,14 @@ letters that no piece writes are worked on one by one (Lattice).
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import math
 import re
 from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,7 @@ SAMPLES = 2
 #: Stretches that a worker remembers.
 MEMO = 400_000
 #: Longest stretch that is worked on with others, and the cells of their tables; longer ones are worked on one by one.
-TABLE_LETTERS, CELLS = 40, 1 << 21
+TABLE_LETTERS, CELLS = 40, 1 << 19
 #: Letters of texts that are worked on together.
 BATCH_LETTERS = 1 << 21
 #: Stretches of up to so many letters are summed in logs if a share of theirs is below TINY.
@@ -108,6 +109,8 @@ class Vocabulary:
             while self.slots[at]:
                 at = (at + 1) % SLOTS
             self.slots[at], self.lengths[at], self.shares[at], self.numbers[at] = h, size, share, number
+        #: slots of the first letters' hashes
+        self.first = self.find(np.arange(1 << 10).astype(np.uint64))
         # pieces from their last letter: [children by letter, log weight or None, its exponential]
         self.back: list = [{}, None, 0.0]
         for text, w in self.weight.items():
@@ -122,9 +125,10 @@ class Vocabulary:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The slots of hashes; an empty one for those that aren't there."""
-        at = ((h * np.uint64(PRIME)) >> np.uint64(SLOT_SHIFT)).astype(np.int64)
+        at = ((h * np.uint64(PRIME)) >> np.uint64(SLOT_SHIFT)).view(np.int64)
         held = self.slots[at]
-        other = np.nonzero((held != h) & (held != 0))[0]
+        other = np.nonzero(held != h)[0]
+        other = other[held[other] != 0]
         while len(other):
             at[other] = (at[other] + 1) % SLOTS
             held = self.slots[at[other]]
@@ -188,33 +192,46 @@ class Together:
         self.piece, self.share = np.zeros((length, self.reach + 1, n), np.int32), np.zeros((length, self.reach + 1, n))
         others, best, last = self.others, self.best, self.last
         best[0] = 1.0
-        prime = np.uint64(PRIME)
+        prime, plain = np.uint64(PRIME), bool(codes.max() < len(vocabulary.first))
         for start in range(length):
-            alive, h = np.arange(n), np.zeros(n, np.uint64)
+            alive, h = np.arange(n), codes[start]
             for size in range(1, min(self.reach, length - start) + 1):
-                h = h * prime + codes[start + size - 1][alive]
-                at = vocabulary.find(h)
+                if size == 1:
+                    at = vocabulary.first[h.astype(np.int64)] if plain else vocabulary.find(h)
+                else:
+                    h = h * prime
+                    h += codes[start + size - 1][alive]
+                    at = vocabulary.find(h)
                 hit = vocabulary.lengths[at] == size
                 if size == 1:
                     w = np.where(hit, vocabulary.shares[at], 0.0)
                     none = w == 0
                     w[none] = vocabulary.unknown_share
                     self.extend(start, size, slice(None), w, np.where(none, -2 - letters[start].astype(np.int64), vocabulary.numbers[at]))
-                alive, h, at = alive[hit], h[hit], at[hit]
-                if not len(alive):
+                hit = np.nonzero(hit)[0]
+                if not len(hit):
                     break
+                if len(hit) < len(alive):
+                    alive, h, at = alive[hit], h[hit], at[hit]
                 if size > 1:
-                    self.extend(start, size, alive, vocabulary.shares[at], vocabulary.numbers[at])
+                    w = vocabulary.shares[at]
+                    pieces = np.nonzero(w)[0]  # the others only begin longer ones
+                    if len(pieces):
+                        self.extend(start, size, alive[pieces], w[pieces], vocabulary.numbers[at[pieces]])
         self.fine = (best[length] > TINY) & ((others[length] > TINY) | (length == 1))
 
     def extend(self, start: int, size: int, rows: np.ndarray | slice, w: np.ndarray, number: np.ndarray) -> None:
         end, others, best = start + size, self.others, self.best
-        b, o, was = best[start, rows] * w, others[start, rows] * w, best[end, rows]
+        b, o, was = best[start][rows] * w, others[start][rows] * w, best[end][rows]
         more = b > was
-        others[end, rows] += o + np.where(more, was, b)
-        best[end, rows] = np.where(more, b, was)
-        self.last[end, rows] = np.where(more, start, self.last[end, rows])
-        self.piece[start, size, rows], self.share[start, size, rows] = number, w
+        o += np.minimum(b, was)
+        others[end][rows] += o
+        best[end][rows] = np.maximum(b, was)
+        if isinstance(rows, slice):
+            self.last[end][more] = start
+        else:
+            self.last[end][rows[more]] = start
+        self.piece[start, size][rows], self.share[start, size][rows] = number, w
 
     def joined(self, path: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """From pieces by row, last ones first (-1: none): ids, row after row, and how many each row has."""
@@ -549,10 +566,13 @@ class Sampler:
         """The numbers of the best paths of stretches, list by list; those that aren't known are found, and stay known until the next call."""
         if len(self.known) + sum(map(len, stretches)) > 2 * self.memo:
             self.thin()
-        codes = [list(map(self.known.get, s)) for s in stretches]
-        new = {x for s, c in zip(stretches, codes) for x, at in zip(s, c) if at is None}
-        self.prepare(new)
-        out = [np.array([self.known[x] if at is None else at for x, at in zip(s, c)] if None in c else c, np.int64) for s, c in zip(stretches, codes)]
+        every = list(chain.from_iterable(stretches))
+        codes = np.fromiter(map(self.known.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.nonzero(codes < 0)[0]
+        new = [every[x] for x in missing.tolist()]
+        self.prepare(set(new))
+        codes[missing] = list(map(self.known.__getitem__, new))
+        out = np.split(codes, np.cumsum(list(map(len, stretches)))[:-1]) if stretches else []
         for c in out:
             self.met[c] += 1
         return out
@@ -744,6 +764,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # no cycles are made here, and looking for them goes through all that the worker remembers
+        try:
+            yield from sampled(batches)
+        finally:
+            gc.enable()
+        give_back()
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = sampler_for(sent.value, alpha)
         for b in batches:
             keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
@@ -769,7 +797,6 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
                 done = ahead
         sampler.forget()
-        give_back()
 
     ddl = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean" + ((", ids binary" if packed else ", ids array<int>") if with_ids else "")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
