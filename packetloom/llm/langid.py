@@ -78,9 +78,34 @@ class Grams:
         n = int(ends[0])
         if not n:
             return np.zeros(0, np.int64), np.zeros(0)
-        found, k = np.unique(np.concatenate([h[:n] for h in self.hashes(codes)]), return_counts=True)
+        found, k = self.tally(codes, n)
         return found, k / k.sum()
 
+    def tally(self, codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(buckets, counts) of the n-grams that begin at the first n places."""
+        return np.unique(np.concatenate([h[:n] for h in self.hashes(codes)]), return_counts=True)
+
+    def packed(self, text: str) -> Packed | None:
+        """What counts() tells of a text, in as few bytes as its numbers take; nothing for a text without characters."""
+        codes, _, ends = self.codes([text])
+        n = int(ends[0])
+        if not n:
+            return None
+        found, k = self.tally(codes, n)
+        return Packed(found.astype(np.min_scalar_type((1 << BITS) - 1)), k.astype(np.min_scalar_type(k.max())))
+
+
+class Packed:
+    """Buckets and counts of a text of the sample, which the driver holds through the training."""
+
+    __slots__ = ("found", "k")
+
+    def __init__(self, found: np.ndarray, k: np.ndarray):
+        self.found, self.k = found, k
+
+    def frequencies(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.found.astype(np.int64), self.k / np.float64(self.k.sum())
+
 
 class Model:
     def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float):
@@ -124,12 +149,12 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.5, beta:
     grams, rng = Grams(), np.random.default_rng(seed)
     size, k = 1 << BITS, len(langs)
     index = {lang: i for i, lang in enumerate(langs)}
-    seen = [(*grams.counts(t), index[lang]) for t, lang in rows]
-    seen = [x for x in seen if len(x[0])]
+    seen = [x for x in ((grams.packed(t), index[lang]) for t, lang in rows) if x[0] is not None]
+    del grams
     kept, learn = seen[::5], [x for i, x in enumerate(seen) if i % 5] or seen
     df = np.zeros(size)
-    for g, _, _ in learn:
-        df[g] += 1
+    for x, _ in learn:
+        df[x.found] += 1
     idf = np.log((1 + len(learn)) / (1 + df)) + 1
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
 
@@ -139,7 +164,7 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.5, beta:
 
     for _ in range(epochs):
         for i in rng.permutation(len(learn)):
-            g, tf, y = learn[i]
+            (g, tf), y = learn[i][0].frequencies(), learn[i][1]
             g, x = np.append(g, size), np.append(SCALE * tf * idf[g], 1.0)
             w = weights(g)
             logit = x @ w
@@ -150,12 +175,15 @@ def fit(rows: list[tuple[str, str]], epochs: int = 3, alpha: float = 0.5, beta:
             step = (np.sqrt(n[g] + grad**2) - np.sqrt(n[g])) / alpha
             z[g] += grad - step * w
             n[g] += grad**2
-    w = weights(np.arange(size + 1))
-    table, bias = (w[:size] * idf[:, None]).astype(np.float32), w[size]
+    table, bias = np.empty((size, k), np.float32), weights(np.array([size]))[0]
+    for at in range(0, size, 1 << 13):  # in blocks: the steps of weights() would hold the table many times over
+        g = np.arange(at, min(size, at + (1 << 13)))
+        table[g] = weights(g) * idf[g, None]
+    del z, n
     temperature = 1.0
     if kept:
-        logits = np.stack([SCALE * (tf @ table[g]) + bias for g, tf, _ in kept])
-        ys = np.array([y for _, _, y in kept])
+        logits = np.stack([SCALE * (tf @ table[g]) + bias for g, tf in (x.frequencies() for x, _ in kept)])
+        ys = np.array([y for _, y in kept])
 
         def loss(t: float) -> float:
             a = logits / t
