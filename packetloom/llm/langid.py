@@ -258,10 +258,9 @@ def keep_identified(docs: DataFrame, model: Model | None = None, least: float =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
         for b in batches:
-            texts = [t or "" for t in b.column(at).to_pylist()]
             keep = []
-            for i in range(0, len(texts), 256):
-                p, s = sent.value.predict(grams, texts[i : i + 256])
+            for i in range(0, len(b), 256):
+                p, s = sent.value.predict(grams, [t or "" for t in b.column(at)[i : i + 256].to_pylist()])
                 keep += [x != UNKNOWN and y >= least for x, y in zip(p, s)]
             yield b.filter(pa.array(keep, pa.bool_()))
         del grams

@@ -28,11 +28,12 @@ from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back
+from .common import give_back, trim
 
 ALPHA = 0.004
 SAMPLES = 2
@@ -42,6 +43,8 @@ MEMO = 400_000
 TABLE_LETTERS, CELLS = 40, 1 << 19
 #: Letters of texts that are worked on together.
 BATCH_LETTERS = 1 << 21
+#: After so many of these, freed memory is returned to the system.
+TRIM_EVERY = 4
 #: Stretches of up to so many letters are summed in logs if a share of theirs is below TINY.
 LOG_LETTERS = 256
 #: Weights below this may underflow on the way: such stretches are worked on one by one.
@@ -481,6 +484,13 @@ class Lattice:
         return self.walk(rng, lambda node, end: list(choices(node, end)))
 
 
+def larger(x: np.ndarray, n: int) -> np.ndarray:
+    """x with room for n values and a quarter more; what is new is never touched before it is written."""
+    out = np.empty(n + n // 4, x.dtype)
+    out[: len(x)] = x
+    return out
+
+
 class Paths:
     """Many paths in a few arrays, each by its number: ids, log probability, that of all other paths of its stretch."""
 
@@ -495,9 +505,10 @@ class Paths:
         """Numbers of new paths, whose ids stand one after the other."""
         first, last, used = self.n, self.n + len(size), self.used + len(ids)
         if last > len(self.start):
-            self.start, self.size, self.log, self.rest = (np.resize(x, 2 * last) for x in (self.start, self.size, self.log, self.rest))
+            for name in ("start", "size", "log", "rest"):
+                setattr(self, name, larger(getattr(self, name), last))
         if used > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * used)
+            self.ids = larger(self.ids, used)
         self.ids[self.used : used] = ids
         self.start[first:last] = self.used + np.cumsum(size) - size
         self.size[first:last], self.log[first:last], self.rest[first:last] = size, log, rest
@@ -526,6 +537,13 @@ def stretches_of(text: str) -> list[str]:
     return text.split(" ")
 
 
+class Spaced(list):
+    """Words, each given with the space that its stretch begins with: the words themselves are kept once, as they are looked up."""
+
+    def __getitem__(self, i) -> str:
+        return " " + super().__getitem__(i)
+
+
 class Sampler:
     """Samples of one worker. It remembers the best paths of stretches, up to MEMO of them."""
 
@@ -536,7 +554,7 @@ class Sampler:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         #: number of a path -> its stretch, and whether it is worked on one by one
-        self.stretch: list[str] = []
+        self.stretch = Spaced()
         self.alone = np.zeros(0, bool)
         self.met = np.zeros(0, np.int64)
         self.paths = Paths()
@@ -545,11 +563,11 @@ class Sampler:
     def thin(self) -> None:
         """Forget the stretches met in one batch only; all, if that is less than half."""
         often = np.nonzero(self.met > 1)[0]
-        texts, alone, paths = [self.stretch[x] for x in often.tolist()], self.alone[often], self.paths
+        texts, alone, paths = [self.stretch[x][1:] for x in often.tolist()], self.alone[often], self.paths
         self.forget()
         if 2 * len(texts) < self.memo:
             numbers = self.paths.add(paths.join(often), paths.size[often], paths.log[often], paths.rest[often])
-            self.known, self.stretch, self.alone, self.met = dict(zip([x[1:] for x in texts], numbers.tolist())), texts, alone, np.ones(len(texts), np.int64)
+            self.known, self.stretch, self.alone, self.met = dict(zip(texts, numbers.tolist())), Spaced(texts), alone, np.ones(len(texts), np.int64)
 
     def lattice(self, text: str) -> Lattice:
         """Kept for as long as one batch is worked on."""
@@ -582,15 +600,14 @@ class Sampler:
         same: dict[int, list[str]] = {}
         single = []
         for x in stretches:
-            x = " " + x
-            same.setdefault(len(x), []).append(x) if len(x) <= TABLE_LETTERS else single.append(x)
+            same.setdefault(len(x) + 1, []).append(x) if len(x) < TABLE_LETTERS else single.append(x)
         parts: list[tuple] = []
         order: list[str] = []
-        for each in same.values():
-            many = self.together(len(each[0]))
+        for length, each in same.items():
+            many = self.together(length)
             for at in range(0, len(each), many):
                 some = each[at : at + many]
-                t = Together(self.vocabulary, some)
+                t = Together(self.vocabulary, [" " + x for x in some])
                 ids, size, log, rest = t.best_paths()
                 if not t.fine.all():
                     ids, size, log, rest = ids[np.repeat(t.fine, size)], size[t.fine], log[t.fine], rest[t.fine]
@@ -600,12 +617,12 @@ class Sampler:
                 order += some
         fine = len(order)
         for x in single:
-            cell = self.lattice(x)
+            cell = self.lattice(" " + x)
             parts.append((np.array(cell.best, np.int32), np.array([len(cell.best)]), np.array([cell.best_log]), np.array([cell.others_log])))
             order.append(x)
         if order:
             numbers = self.paths.add(*(np.concatenate(p) for p in zip(*parts)))
-            self.known |= zip([x[1:] for x in order], numbers.tolist())
+            self.known |= zip(order, numbers.tolist())
             self.stretch += order
             self.alone = np.concatenate([self.alone, np.arange(len(order)) >= fine])
             self.met = np.concatenate([self.met, np.zeros(len(order), np.int64)])
@@ -633,8 +650,11 @@ class Sampler:
                 hi = min(lo + self.together(int(length)), int(np.searchsorted(lengths[order], length, "right")))
                 a, b = np.searchsorted(place, [lo, hi])
                 t = Together(self.vocabulary, [texts[x] for x in order[lo:hi].tolist()])
-                ids, size, log = t.draw(place[a:b] - lo, keys[at[a:b]])
-                out[at[a:b]] = self.paths.add(ids, size, log, np.log1p(-np.exp(log)))
+                step = max(1, CELLS // (t.reach + 1))  # a frequent stretch may be drawn any number of times
+                for x in range(a, b, step):
+                    y = min(x + step, b)
+                    ids, size, log = t.draw(place[x:y] - lo, keys[at[x:y]])
+                    out[at[x:y]] = self.paths.add(ids, size, log, np.log1p(-np.exp(log)))
                 lo = hi
         return out
 
@@ -744,6 +764,18 @@ def sampler_for(model: bytes, alpha: float) -> Sampler:
     return Sampler(Vocabulary(model, alpha))
 
 
+def cuts(texts: pa.Array) -> list[tuple[int, int]]:
+    """The rows in stretches of less than BATCH_LETTERS letters, or of one row: only one stretch's texts are Python strings at a time."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+    out, first, letters = [], 0, 0
+    for row, size in enumerate(sizes):
+        if row > first and letters + size >= BATCH_LETTERS:
+            out.append((first, row))
+            first, letters = row, 0
+        letters += size
+    return out + [(first, len(sizes))] if sizes else []
+
+
 def row_seed(key: int | None, seed: int) -> int:
     return xxhash.xxh64_intdigest(b"null" if key is None else str(key).encode(), seed)
 
@@ -774,15 +806,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = sampler_for(sent.value, alpha)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            done = 0
-            while done < len(texts):
-                ahead, letters = done, 0
-                while ahead < len(texts) and (ahead == done or letters + len(texts[ahead]) < BATCH_LETTERS):
-                    letters += len(texts[ahead])
-                    ahead += 1
-                some, rows = texts[done:ahead], []
-                for key, text, found in zip(keys[done:ahead], some, sampler.sample_all(some, samples, [row_seed(x, seed) for x in keys[done:ahead]])):
+            for part, (done, ahead) in enumerate(cuts(b.column(1)), 1):
+                keys, some, rows = b.column(0)[done:ahead].to_pylist(), [t or "" for t in b.column(1)[done:ahead].to_pylist()], []
+                for key, text, found in zip(keys, some, sampler.sample_all(some, samples, [row_seed(x, seed) for x in keys])):
                     plain = text.replace("▁", " ").encode()
                     for rank, (ids, log, g, inclusion) in enumerate(found, 1):
                         back = sampler.vocabulary.decode_array(ids) == plain
@@ -795,7 +821,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
                 elif with_ids:
                     arrays.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(columns[2])]).astype(np.int32), np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
-                done = ahead
+                del some, rows, found, columns, ids, arrays  # else they stay beside the next ones
+                if part % TRIM_EVERY == 0:
+                    trim()
         sampler.forget()
 
     ddl = "doc_id long, rank int, n_pieces long, log_prob double, perturbed double, inclusion double, ids_sha256 string, round_trip boolean" + ((", ids binary" if packed else ", ids array<int>") if with_ids else "")
