@@ -40,7 +40,7 @@ def chain_packets(spark, sf_dir) -> DataFrame:
     form = F.concat_ws("\n", F.lit("FORM I-8090"), *shown[:7], F.when(kind != 7, "MIB Fee Receipt"), shown[7], flags, more)
     at_once = kind.isin(0, 7, 8, 9, 11)
     readings = {
-        "native": F.when(at_once, form).otherwise(F.concat(F.lit("Packet "), k.cast("string"), F.lit(" / page 1"))),
+        "native": F.when(E.apart(at_once), form).otherwise(F.concat(F.lit("Packet "), k.cast("string"), F.lit(" / page 1"))),
         "page_ocr": F.when(~at_once, form),
         "threshold_ocr": F.when(kind == 2, line("visa_class")).when(kind == 3, "Declared Purpose: ##").when(kind == 10, "Observed flags: biohazard_red"),
         "best_ocr": F.when(kind == 3, line("declared_purpose")),
